@@ -1,0 +1,5 @@
+"""No streaming operators.
+
+Every input of this library is a bounded interaction log and every time window
+is a fixed look-back from a cutoff, so there is no unbounded state to keep.
+"""
