@@ -1,16 +1,17 @@
-"""Deterministic 64-bit mixing hash on the JVM.
+"""Deterministic 64-bit mixing hash.
 
-The sampling hash multiplies and adds modulo 2**64.  Spark's ``bigint``
-arithmetic raises on overflow in ANSI mode, so a product is assembled from
-16- and 32-bit limbs that never leave the signed range; shifts and exclusive-or
-wrap natively.  Each step is a column of its own, which keeps the plan linear in
-the number of steps and inside whole-stage code generation.
+The hash multiplies and adds modulo 2**64.  Spark's ``bigint`` arithmetic raises on
+overflow in ANSI mode, and a product assembled from limbs is repeated hundreds of
+times when the optimizer pushes a filter on the hash through its own steps.  So two
+id columns go to NumPy in Arrow batches and one column comes back.
 """
 
 from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,15 +23,9 @@ GOLDEN_INCREMENT = 0x9E3779B97F4A7C15
 FIRST_MIX_MULTIPLIER = 0xBF58476D1CE4E5B9
 SECOND_MIX_MULTIPLIER = 0x94D049BB133111EB
 
-_LOW32 = 0xFFFFFFFF
-_LOW16 = 0xFFFF
-_SIGN = -(2**63)
-
-
-def signed(value: int) -> int:
-    """The two's-complement reading of an unsigned 64-bit number."""
-    value &= 2**64 - 1
-    return value - 2**64 if value >= 2**63 else value
+_ROUNDS = ((30, FIRST_MIX_MULTIPLIER), (27, SECOND_MIX_MULTIPLIER))
+_LAST_SHIFT = 31
+_SIGN_BIT = 1 << 63
 
 
 def fold_seed(seed: int, fold: str) -> int:
@@ -42,77 +37,27 @@ def fold_seed(seed: int, fold: str) -> int:
 def id_bits(value: Column, dtype: T.DataType) -> Column:
     """The 64-bit pattern of an id; unsigned decimals wrap, nothing goes to double."""
     if isinstance(dtype, T.DecimalType):
-        half, full = F.lit(2**63).cast("decimal(20,0)"), F.lit(2**64).cast("decimal(20,0)")
-        return F.when(value >= half, (value - full).cast("bigint")).otherwise(
-            F.when(value < half, value).cast("bigint")
-        )
+        wide = value.cast("decimal(38,0)")
+        wrapped = wide - F.lit(str(2**64)).cast("decimal(38,0)")
+        return F.when(wide >= F.lit(str(2**63)).cast("decimal(38,0)"), wrapped).otherwise(
+            wide
+        ).cast("bigint")
     return value.cast("bigint")
 
 
-def _and(value: Column, mask: int) -> Column:
-    return value.bitwiseAND(F.lit(mask).cast("bigint"))
-
-
-def _join_words(high: Column, low: Column) -> Column:
-    return F.shiftleft(_and(high, _LOW32), 32).bitwiseOR(_and(low, _LOW32))
-
-
-def times(value: Column, factor: int) -> Column:
-    """``value * factor`` modulo 2**64 for a constant factor."""
-    low, high = _and(value, _LOW32), F.shiftrightunsigned(value, 32)
-    f0, f1, f2, f3 = (factor >> shift & _LOW16 for shift in (0, 16, 32, 48))
-    inner, outer = low * f0, low * f1
-    low_sum = inner + F.shiftleft(_and(outer, _LOW16), 16)
-    high_sum = (
-        F.shiftrightunsigned(outer, 16)
-        + F.shiftrightunsigned(low_sum, 32)
-        + high * f0
-        + F.shiftleft(_and(high * f1, _LOW16), 16)
-        + low * f2
-        + F.shiftleft(_and(low * f3, _LOW16), 16)
-    )
-    return _join_words(high_sum, low_sum)
-
-
-def plus(value: Column, addend: int) -> Column:
-    """``value + addend`` modulo 2**64 for a constant addend."""
-    low_sum = _and(value, _LOW32) + (addend & _LOW32)
-    high_sum = (
-        F.shiftrightunsigned(value, 32)
-        + (addend >> 32 & _LOW32)
-        + F.shiftrightunsigned(low_sum, 32)
-    )
-    return _join_words(high_sum, low_sum)
-
-
-def _fold_bits(value: Column, shift: int) -> Column:
-    return value.bitwiseXOR(F.shiftrightunsigned(value, shift))
+def _unsigned(ids: pd.Series) -> np.ndarray:
+    if ids.dtype != np.int64:
+        raise ValueError("ids must be integers without nulls")
+    return ids.to_numpy().view(np.uint64)
 
 
-def _mixed(df: DataFrame, name: str) -> DataFrame:
-    """Run the avalanche steps on column ``name`` in place."""
-    for shift, factor in ((30, FIRST_MIX_MULTIPLIER), (27, SECOND_MIX_MULTIPLIER)):
-        df = df.withColumn(name, _fold_bits(F.col(name), shift))
-        df = df.withColumn(name, times(F.col(name), factor))
-    return df.withColumn(name, _fold_bits(F.col(name), 31))
-
-
-def with_pair_hash(
-    df: DataFrame,
-    seed_bits: int,
-    out: str,
-    user: str = "user_id",
-    item: str = "item_id",
-) -> DataFrame:
-    """Add the 64-bit hash of (user, item) under a seed, independent of row order."""
-    user_type, item_type = df.schema[user].dataType, df.schema[item].dataType
-    base = (
-        times(id_bits(F.col(user), user_type), USER_MULTIPLIER)
-        .bitwiseXOR(times(id_bits(F.col(item), item_type), ITEM_MULTIPLIER))
-        .bitwiseXOR(F.lit(signed(seed_bits)))
-    )
-    df = df.withColumn(out, base).withColumn(out, plus(F.col(out), GOLDEN_INCREMENT))
-    return _mixed(df, out)
+def avalanche(state: np.ndarray) -> np.ndarray:
+    """Add the increment and mix every bit into every other."""
+    state = state + np.uint64(GOLDEN_INCREMENT)
+    for shift, factor in _ROUNDS:
+        state ^= state >> np.uint64(shift)
+        state *= np.uint64(factor)
+    return state ^ (state >> np.uint64(_LAST_SHIFT))
 
 
 def with_pair_uniform(
@@ -124,15 +69,35 @@ def with_pair_uniform(
     user: str = "user_id",
     item: str = "item_id",
 ) -> DataFrame:
-    """Add a reproducible number in [0, 1) for each (user, item) of a fold."""
-    df = with_pair_hash(df, fold_seed(seed, fold), out, user, item)
-    top_bits = F.shiftrightunsigned(F.col(out), 11).cast("double")
-    return df.withColumn(out, top_bits / F.lit(float(2**53)))
+    """Add a reproducible number in [0, 1) for each (user, item) of a fold.
+
+    It depends on the two ids, the seed and the fold only, not on row order or
+    partitioning.
+    """
+    bits = fold_seed(seed, fold)
+
+    @F.pandas_udf(T.DoubleType())
+    def uniform(users: pd.Series, items: pd.Series) -> pd.Series:
+        state = _unsigned(users) * np.uint64(USER_MULTIPLIER)
+        state ^= _unsigned(items) * np.uint64(ITEM_MULTIPLIER)
+        state ^= np.uint64(bits)
+        return pd.Series((avalanche(state) >> np.uint64(11)) * 2.0**-53)
+
+    return df.withColumn(
+        out,
+        uniform(
+            id_bits(F.col(user), df.schema[user].dataType),
+            id_bits(F.col(item), df.schema[item].dataType),
+        ),
+    )
 
 
 def with_id_hash(df: DataFrame, *, seed: int, out: str, key: str = "user_id") -> DataFrame:
     """Add a 64-bit hash of one id, shifted so that signed order is unsigned order."""
-    bits = id_bits(F.col(key), df.schema[key].dataType)
-    df = df.withColumn(out, plus(bits, seed + GOLDEN_INCREMENT & 2**64 - 1))
-    df = _mixed(df, out)
-    return df.withColumn(out, F.col(out).bitwiseXOR(F.lit(_SIGN)))
+
+    @F.pandas_udf(T.LongType())
+    def hashed(ids: pd.Series) -> pd.Series:
+        state = avalanche(_unsigned(ids) + np.uint64(seed))
+        return pd.Series((state ^ np.uint64(_SIGN_BIT)).view(np.int64))
+
+    return df.withColumn(out, hashed(id_bits(F.col(key), df.schema[key].dataType)))

@@ -1,7 +1,7 @@
-"""Dense vector arithmetic on ``ARRAY<FLOAT>`` columns.
+"""Dense vector arithmetic on ``ARRAY<FLOAT>`` columns with the array functions.
 
-With a known dimension the sums are written out element by element, which stays
-inside generated code; without one they use the array functions.
+Writing the sums out element by element would exceed the method size limit of
+generated code at a few dozen dimensions.
 """
 
 from __future__ import annotations
@@ -9,30 +9,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from morrow.functions.expressions import col, total_of
+from morrow.functions.expressions import col
 
 ZERO_NORM = 1e-12
 
 
-def dot(left: str | Column, right: str | Column, dim: int | None = None) -> Column:
-    left, right = col(left), col(right)
-    if dim is not None:
-        return total_of(
-            F.get(left, F.lit(i)).cast("double") * F.get(right, F.lit(i)).cast("double")
-            for i in range(dim)
-        )
-    products = F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double"))
+def dot(left: str | Column, right: str | Column) -> Column:
+    """Sum of products, accumulated in double from the first element to the last."""
+    products = F.zip_with(
+        col(left), col(right), lambda a, b: a.cast("double") * b.cast("double")
+    )
     return F.aggregate(products, F.lit(0.0), lambda total, value: total + value)
 
 
-def norm(vector: str | Column, dim: int | None = None) -> Column:
-    return F.sqrt(dot(vector, vector, dim))
+def norm(vector: str | Column) -> Column:
+    return F.sqrt(dot(vector, vector))
 
 
-def unit(vector: str | Column, dim: int | None = None) -> Column:
+def unit(vector: str | Column) -> Column:
     """Scale to length one; a zero vector has no direction and becomes null."""
     vector = col(vector)
-    length = norm(vector, dim)
+    length = norm(vector)
     return F.when(
         length > ZERO_NORM, F.transform(vector, lambda value: value.cast("double") / length)
     )

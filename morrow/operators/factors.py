@@ -199,7 +199,7 @@ def retrieve_top(
 
 
 def score_pairs(
-    pairs: DataFrame, queries: DataFrame, items: DataFrame, source: str, dim: int | None = None
+    pairs: DataFrame, queries: DataFrame, items: DataFrame, source: str
 ) -> DataFrame:
     """Score, norms and cosine of arbitrary pairs, zero where a vector is missing."""
     joined = lookup_join(
@@ -213,10 +213,10 @@ def score_pairs(
 
     measured = joined.select(
         *pairs.columns,
-        known(dot("__q", "__v", dim)).alias(f"cross_score_{source}"),
+        known(dot("__q", "__v")).alias(f"cross_score_{source}"),
         there.alias(f"cross_score_available_{source}"),
-        known(norm("__q", dim)).alias(f"{source}_query_norm"),
-        known(norm("__v", dim)).alias(f"{source}_item_norm"),
+        known(norm("__q")).alias(f"{source}_query_norm"),
+        known(norm("__v")).alias(f"{source}_item_norm"),
     )
     scale = F.greatest(
         F.col(f"{source}_query_norm") * F.col(f"{source}_item_norm"), F.lit(ZERO_NORM)

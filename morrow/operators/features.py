@@ -281,10 +281,11 @@ def attach_covisit_features(candidates: DataFrame, contributions: DataFrame) ->
     return filled.withColumn("covisit_available", F.col("covisit_matched_seed_count") > 0)
 
 
-def factor_norms(factors: DataFrame, key: str, dim: int | None = None) -> DataFrame:
+def factor_norms(factors: DataFrame, key: str
+) -> DataFrame:
     """L2 norm of every user or item factor."""
     side = "user" if key == "user_id" else "item"
-    return factors.select(key, norm("features", dim).cast("float").alias(f"als_{side}_factor_norm"))
+    return factors.select(key, norm("features").cast("float").alias(f"als_{side}_factor_norm"))
 
 
 def attach_factor_features(

@@ -147,8 +147,7 @@ def attach_factor_product(
     union: DataFrame,
     user_factors: DataFrame,
     item_factors: DataFrame,
-    source: str = "implicit_als",
-    dim: int | None = None,
+    source: str = "implicit_als"
 ) -> DataFrame:
     """Factor dot product for pairs whose user and item both have factors."""
     joined = lookup_join(
@@ -160,7 +159,7 @@ def attach_factor_product(
     known = F.col("__u").isNotNull() & F.col("__i").isNotNull()
     return (
         joined.withColumn(
-            cross_score(source), F.when(known, dot("__u", "__i", dim)).otherwise(0.0)
+            cross_score(source), F.when(known, dot("__u", "__i")).otherwise(0.0)
         )
         .withColumn(cross_available(source), known)
         .drop("__u", "__i")

@@ -32,7 +32,6 @@ class FittedSources:
     covisit: CovisitConfig
     user_factors: DataFrame
     item_factors: DataFrame
-    dim: int | None = None
 
 
 def predict_sources(
@@ -74,7 +73,7 @@ def cross_score_union(
     scored = attach_ranking(scored, RECENCY_SOURCE, fitted.recency_ranking)
     scored = attach_covisit(scored, seeds, fitted.neighbors, fitted.covisit, reference)
     return attach_factor_product(
-        scored, fitted.user_factors, fitted.item_factors, dim=fitted.dim
+        scored, fitted.user_factors, fitted.item_factors
     )
 
 
@@ -93,13 +92,13 @@ def candidate_table(
 
 
 def expanded_union(
-    scored: DataFrame, queries: DataFrame, items: DataFrame, *, dim: int | None = None
+    scored: DataFrame, queries: DataFrame, items: DataFrame
 ) -> DataFrame:
     """Add embedding scores and rank all cross scores within each user's union.
 
     Ranks depend on the complete union and therefore precede any sampling.
     """
-    with_vectors = score_pairs(scored, queries, items, "sasrec", dim)
+    with_vectors = score_pairs(scored, queries, items, "sasrec")
     return attach_score_ranks(with_vectors, ("item2item", "implicit_als", "sasrec"))
 
 

@@ -73,14 +73,13 @@ def materialize_features(
     profiles: DataFrame,
     item_factors: DataFrame,
     *,
-    dim: int | None = None,
     features: Sequence[str] | None = None,
 ) -> DataFrame:
     """Pair features only for rows that survived sampling; ranks stay as they are."""
     rows = attach_history_features(sampled, lookups["user_features"], lookups["item_features"])
     rows = attach_covisit_features(rows, seed_contributions(seeds, neighbors, config, cutoff))
     rows = attach_factor_features(rows, lookups["als_user_norms"], lookups["als_item_norms"])
-    rows = profile_features(rows, profiles, item_factors, dim)
+    rows = profile_features(rows, profiles, item_factors)
     names = list(features or [c for c in feature_columns(rows) if c != "als_mapping_available"])
     kept = [c for c in ("label", "sample_weight") if c in rows.columns]
     return rows.select(*PAIR_KEYS, *kept, *[F.col(n).cast("float").alias(n) for n in names])
