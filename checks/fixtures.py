@@ -327,6 +327,20 @@ class World:
         )
 
 
+class PurchaseWorld(World):
+    """The same stages on the larger purchase log, with its last 30 days as labels."""
+
+    _known: dict[tuple[str, str], World] = {}
+
+    @cached_property
+    def raw(self) -> DataFrame:
+        return purchases_log(self.table)
+
+    @cached_property
+    def cutoff(self) -> datetime:
+        return interactions.infer_cutoff(self.raw).first()["cutoff"] - timedelta(days=29)
+
+
 class EarlyFold:
     """A fold near the start of the purchase log, where many items are still unknown."""
 

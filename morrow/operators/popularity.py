@@ -271,9 +271,8 @@ def candidates_to_lists(candidates: DataFrame, k: int = 20) -> DataFrame:
 
 def list_pairs(recommendations: DataFrame) -> DataFrame:
     """Back from lists to (user, item) rows; empty lists and null items vanish."""
-    return recommendations.select(
-        "user_id", F.explode("item_ids").cast("int").alias("item_id")
-    ).filter(F.col("item_id").isNotNull())
+    items = F.array_compact(F.col("item_ids").cast("array<int>"))
+    return recommendations.select("user_id", F.explode(items).alias("item_id"))
 
 
 def by_priority(*sources: DataFrame) -> DataFrame:
