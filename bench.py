@@ -52,9 +52,8 @@ QUERIES: dict[str, Callable[[World], DataFrame]] = {
     "fusion_ranks": lambda w: union.fusion_candidates(w.union, FUSION),
     "user_features": lambda w: features.user_features(w.history, w.cutoff),
     "item_features": lambda w: features.item_features(w.history, w.cutoff),
-    "ranker_rows": lambda w: rows.training_rows(
-        rows.inference_rows(w.scored, w.lookups, w.seeds, w.neighbors, COVISIT, w.cutoff),
-        w.labels, FOLD, SAMPLING,
+    "ranker_rows": lambda w: rows.ranker_rows(
+        w.scored, w.labels, w.lookups, w.seeds, w.neighbors, COVISIT, w.cutoff, FOLD, SAMPLING
     ),
     "history_profiles": lambda w: profiles.build_profiles(
         profiles.history_pairs(w.history, w.targets), w.targets, w.item_factors

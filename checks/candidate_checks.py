@@ -563,7 +563,10 @@ def _(w: World):
     f"SELECT user_id, item_id, label, is_hard_negative, is_training_sample, {r('sampling_probability')} FROM lab",
 )
 def _(w: World):
-    table = row_plan.training_rows(w.inference_rows, w.labels, fixtures.FOLD, fixtures.SAMPLING)
+    table = row_plan.ranker_rows(
+        w.scored, w.labels, w.lookups, w.seeds, w.neighbors, COVISIT, w.cutoff,
+        fixtures.FOLD, fixtures.SAMPLING,
+    )
     return table.select(*PAIR_KEYS, "label", *sampling.TRAINING_METADATA)
 
 

@@ -251,7 +251,10 @@ class World:
 
     @cached_property
     def dataset(self) -> DataFrame:
-        table = rows.training_rows(self.inference_rows, self.labels, FOLD, SAMPLING)
+        table = rows.ranker_rows(
+            self.scored, self.labels, self.lookups, self.seeds, self.neighbors, COVISIT,
+            self.cutoff, FOLD, SAMPLING,
+        )
         return write_stage(table, "dataset")
 
     @cached_property

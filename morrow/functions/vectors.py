@@ -27,12 +27,16 @@ def norm(vector: str | Column) -> Column:
 
 
 def unit(vector: str | Column) -> Column:
-    """Scale to length one; a zero vector has no direction and becomes null."""
+    """Scale to length one; a zero vector has no direction and becomes null.
+
+    The length is repeated into an array first: inside a lambda it would be computed
+    again for every component.
+    """
     vector = col(vector)
     length = norm(vector)
-    return F.when(
-        length > ZERO_NORM, F.transform(vector, lambda value: value.cast("double") / length)
-    )
+    lengths = F.array_repeat(length, F.size(vector))
+    scaled = F.zip_with(vector, lengths, lambda value, size: value.cast("double") / size)
+    return F.when(length > ZERO_NORM, scaled)
 
 
 def clip_cosine(value: Column) -> Column:

@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from morrow.functions.expressions import age_hours, safe_ratio, zero_sentinels
+from morrow.functions.expressions import age_hours, safe_ratio, total_of, zero_sentinels
 from morrow.functions.joins import lookup_join
 from morrow.functions.vectors import norm
 from morrow.operators.covisit import covisit_evidence
@@ -18,6 +18,7 @@ from morrow.schemas import PAIR_KEYS
 
 _EVENTS = {"interaction": None, "positive": "is_positive", "like": "is_like", "favorite": "is_favorite"}
 _SIGNALS = {"positive": "is_positive", "like": "is_like", "favorite": "is_favorite"}
+_COUNTERPART_STEMS = {"positive": "is_positive", "liked": "is_like", "favorited": "is_favorite"}
 
 
 @dataclass(frozen=True)
@@ -68,68 +69,85 @@ def entity_features(
 ) -> DataFrame:
     """Lifetime, window and trend features of users or items.
 
-    Distinct counterparts are counted without distinct aggregates: rows are first
-    collapsed to (entity, counterpart), where each count becomes a flag to sum.
-    That also splits a hot entity over its counterparts before anything is
-    gathered by entity.
+    Three aggregations that all combine before their shuffle, so a hot entity never
+    gathers its rows in one task: additive sums per entity; distinct counterparts
+    from one bit mask per (entity, counterpart) instead of a distinct aggregate per
+    count; active days from distinct (entity, date).
     """
     counterpart = "item_id" if entity == "user_id" else "user_id"
     prefix, plural = entity[: -len("_id")], counterpart[: -len("_id")] + "s"
     slices = _slices(config, trends)
-    rows = daily.withColumn("__age", age_hours("dt", cutoff))
-    age = F.col("__age")
-
-    pair_level, entity_level = [], []
-
-    def add(name: str, pair_value: Column, combine, dtype: str = "bigint") -> None:
-        pair_level.append(pair_value.alias(name))
-        entity_level.append(combine(name).cast(dtype).alias(name))
-
-    def lifetime(name: str, value: Column, combine=F.sum, dtype: str = "bigint") -> None:
-        add(f"{prefix}_{name}_all", value, combine, dtype)
-
-    lifetime("daily_rows", F.count(F.lit(1)))
-    lifetime("views", F.sum("views"))
-    lifetime(f"distinct_{plural}", F.lit(1))
-    lifetime("positive_rows", F.sum("is_positive"))
-    lifetime("like_rows", F.sum("is_like"))
-    lifetime("favorite_rows", F.sum("is_favorite"))
-    lifetime(f"positive_{plural}", F.max("is_positive"))
-    lifetime(f"liked_{plural}", F.max("is_like"))
-    lifetime(f"favorited_{plural}", F.max("is_favorite"))
-    lifetime("watch_time_sum", F.sum("watch_time"))
-    lifetime("watch_time_max", F.max("watch_time"), F.max)
+    age = age_hours("dt", cutoff)
+    totals = daily.groupBy(entity).agg(*_additive(prefix, slices, age))
+
+    marks = {f"{stem}_{plural}_all": F.col(flag) > 0 for stem, flag in _COUNTERPART_STEMS.items()}
+    marks |= {f"distinct_{plural}_{part.suffix}": part.contains(age) for part in slices}
+    bits = {name: 1 << place for place, name in enumerate(marks)}
+    mask = total_of(
+        F.when(marks[name], F.lit(bit)).otherwise(0).cast("bigint") for name, bit in bits.items()
+    )
+    pairs = daily.groupBy(entity, counterpart).agg(F.bit_or(mask).alias("mask"))
+    distinct = pairs.groupBy(entity).agg(
+        F.count(F.lit(1)).alias(f"{prefix}_distinct_{plural}_all"),
+        *[
+            F.count_if(F.col("mask").bitwiseAND(F.lit(bit).cast("bigint")) != 0).alias(
+                f"{prefix}_{name}"
+            )
+            for name, bit in bits.items()
+        ],
+    )
+    days = (
+        daily.select(entity, "date")
+        .distinct()
+        .groupBy(entity)
+        .agg(F.count(F.lit(1)).cast("int").alias(f"{prefix}_active_days_all"))
+    )
+    return (
+        totals.join(distinct, entity)
+        .join(days, entity)
+        .select(entity, *_derived(prefix, plural, slices, cutoff, config, trends))
+    )
+
+
+def _additive(prefix: str, slices: list[_Slice], age: Column) -> list[Column]:
+    """Sums, maxima and last moments over the lifetime and each slice."""
+
+    def named(value: Column, stem: str, suffix: str) -> Column:
+        return value.alias(f"{prefix}_{stem}_{suffix}")
+
+    columns = [named(F.count(F.lit(1)), "daily_rows", "all"), named(F.sum("views"), "views", "all")]
+    columns += [named(F.sum(flag), f"{signal}_rows", "all") for signal, flag in _SIGNALS.items()]
+    columns += [
+        named(F.sum("watch_time"), "watch_time_sum", "all"),
+        named(F.max("watch_time"), "watch_time_max", "all"),
+    ]
     for event, flag in _EVENTS.items():
         moment = F.col("dt") if flag is None else F.when(F.col(flag) > 0, F.col("dt"))
-        pair_level.append(F.max(moment).alias(f"__last_{event}"))
-        entity_level.append(F.max(f"__last_{event}").alias(f"__last_{event}"))
+        columns.append(F.max(moment).alias(f"__last_{event}"))
     for part in slices:
         inside = part.contains(age)
 
-        def windowed(name: str, value: Column, combine=F.sum) -> None:
-            add(f"{prefix}_{name}_{part.suffix}", value, combine)
-
-        def within(value) -> Column:
-            return F.when(inside, value)
-
-        windowed("daily_rows", F.count_if(inside))
-        windowed("views", F.coalesce(F.sum(within(F.col("views"))), F.lit(0)))
-        windowed(f"distinct_{plural}", F.max(inside.cast("int")))
-        for signal, flag in _SIGNALS.items():
-            windowed(f"{signal}_rows", F.coalesce(F.sum(within(F.col(flag))), F.lit(0)))
-        windowed("watch_time_sum", F.coalesce(F.sum(within(F.col("watch_time"))), F.lit(0)))
-        windowed(
-            "watch_time_max", F.max(within(F.col("watch_time"))),
-            lambda name: F.coalesce(F.max(name), F.lit(0)),
-        )
-    totals = rows.groupBy(entity, counterpart).agg(*pair_level).groupBy(entity).agg(*entity_level)
-    days = (
-        daily.select(entity, "date").distinct().groupBy(entity)
-        .agg(F.count(F.lit(1)).cast("int").alias(f"{prefix}_active_days_all"))
-    )
-    return totals.join(days, entity).select(
-        entity, *_derived(prefix, plural, slices, cutoff, config, trends)
-    )
+        def within(name: str) -> Column:
+            return F.when(inside, F.col(name)).otherwise(0)
+
+        columns += [
+            named(F.count_if(inside), "daily_rows", part.suffix),
+            named(F.sum(within("views")), "views", part.suffix),
+        ]
+        columns += [
+            named(F.sum(within(flag)), f"{signal}_rows", part.suffix)
+            for signal, flag in _SIGNALS.items()
+        ]
+        columns += [
+            named(F.sum(within("watch_time")), "watch_time_sum", part.suffix),
+            # A negative watch time must not lose against rows outside the slice.
+            named(
+                F.coalesce(F.max(F.when(inside, F.col("watch_time"))), F.lit(0)),
+                "watch_time_max",
+                part.suffix,
+            ),
+        ]
+    return columns
 
 
 def _derived(
@@ -234,6 +252,11 @@ def item_features(
     return entity_features(daily, "item_id", cutoff, config, trends=True)
 
 
+def _packed(lookup: DataFrame, key: str, name: str) -> DataFrame:
+    """A lookup with its feature columns in one struct: joins move one column."""
+    return lookup.select(key, F.struct(*[c for c in lookup.columns if c != key]).alias(name))
+
+
 def attach_history_features(
     candidates: DataFrame, users: DataFrame, items: DataFrame
 ) -> DataFrame:
@@ -241,9 +264,10 @@ def attach_history_features(
 
     Items without history keep null features; ``missing_item_lookups`` reports them.
     """
-    joined = lookup_join(candidates, users, "user_id")
-    joined = zero_sentinels(joined, [c for c in users.columns if c != "user_id"])
-    return lookup_join(joined, items, "item_id")
+    joined = lookup_join(candidates, _packed(users, "user_id", "__user"), "user_id")
+    joined = lookup_join(joined, _packed(items, "item_id", "__item"), "item_id")
+    unpacked = joined.select(*candidates.columns, "__user.*", "__item.*")
+    return zero_sentinels(unpacked, [c for c in users.columns if c != "user_id"])
 
 
 def attach_score_ranks(union: DataFrame, sources: Sequence[str]) -> DataFrame:

@@ -34,19 +34,35 @@ def inference_rows(
     cutoff: datetime | Column,
     rank_sources: Sequence[str] = ("item2item", "implicit_als"),
 ) -> DataFrame:
-    """All inference-time features of the union's pairs, no labels involved."""
-    rows = attach_history_features(union, lookups["user_features"], lookups["item_features"])
+    """All inference-time features of the union's pairs, no labels involved.
+
+    The steps that shuffle (ranks per user, evidence per pair) run on the narrow
+    union; the wide history lookups come last and only widen rows in place.
+    """
+    rows = attach_covisit_features(union, seed_contributions(seeds, neighbors, config, cutoff))
     rows = attach_score_ranks(rows, rank_sources)
-    rows = attach_covisit_features(rows, seed_contributions(seeds, neighbors, config, cutoff))
     rows = attach_factor_features(rows, lookups["als_user_norms"], lookups["als_item_norms"])
-    return rows
+    return attach_history_features(rows, lookups["user_features"], lookups["item_features"])
 
 
-def training_rows(
-    features: DataFrame, truth: DataFrame, fold: str, sampling: NegativeSampling
+def ranker_rows(
+    union: DataFrame,
+    truth: DataFrame,
+    lookups: Mapping[str, DataFrame],
+    seeds: DataFrame,
+    neighbors: DataFrame,
+    config: CovisitConfig,
+    cutoff: datetime | Column,
+    fold: str,
+    sampling: NegativeSampling,
 ) -> DataFrame:
-    """Labels and the sampling mask on top of the inference features."""
-    return sample_negatives(assign_labels(features, truth), fold, sampling)
+    """Labeled, sampled rows with all features of every candidate.
+
+    Labels and the sampling mask need only union columns, so they too are attached
+    while the rows are narrow; no feature depends on them.
+    """
+    labeled = sample_negatives(assign_labels(union, truth), fold, sampling)
+    return inference_rows(labeled, lookups, seeds, neighbors, config, cutoff)
 
 
 def frozen_features(rows: DataFrame, expected: Mapping[str, str]) -> DataFrame:
