@@ -9,6 +9,7 @@ from checks.fixtures import COVISIT, SEED, World
 from checks.registry import check, f32, r
 from checks.steps import STRATUM, as_lists, is_active, pair_uniform
 from morrow.functions import expressions as x
+from morrow.functions.joins import attach_row
 from morrow.functions.ranking import order_breaks
 from morrow.operators import covisit, factors, interactions, popularity, profiles, sampling, union
 from morrow.schemas import DAILY_INTERACTION, DAILY_KEYS, PAIR_KEYS, TARGET_USER
@@ -621,9 +622,9 @@ def _(w: World):
         reports["history"].select(F.col("rows").alias("history_rows")),
         reports["validation"].select(F.col("rows").alias("validation_rows")),
     ]
-    joined = parts[0].withColumn("one", F.lit(1))
+    joined = parts[0]
     for part in parts[1:]:
-        joined = joined.join(part.withColumn("one", F.lit(1)), "one")
-    return joined.drop("one")
+        joined = attach_row(joined, part)
+    return joined
 
 

@@ -64,3 +64,9 @@ def lookup_join(
         .drop("__hot")
     )
     return salted_left.join(salted_right, [*keys, _SALT], how).drop(_SALT)
+
+
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row frame as a single scalar subquery."""
+    values = row.select(F.struct(*row.columns).alias("row")).scalar()
+    return df.select("*", *[values.getField(name).alias(name) for name in row.columns])

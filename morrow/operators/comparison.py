@@ -14,6 +14,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from morrow.functions.joins import attach_row
+
 LABELED = "precision_at_20_labeled_users"
 ALL_TARGETS = "precision_at_20_all_targets"
 
@@ -159,9 +161,9 @@ def staged_sweep(
 def compare_with_baseline(selected: DataFrame, baseline: DataFrame) -> DataFrame:
     """Selected minus stored metrics; both have one row."""
     names = [ALL_TARGETS, LABELED, "final_hits"]
-    left = selected.select(F.lit(1).alias("one"), *[F.col(n).alias(f"s_{n}") for n in names])
-    right = baseline.select(F.lit(1).alias("one"), *[F.col(n).alias(f"b_{n}") for n in names])
-    return left.join(right, "one").select(
+    left = selected.select(*[F.col(n).alias(f"s_{n}") for n in names])
+    right = baseline.select(*[F.col(n).alias(f"b_{n}") for n in names])
+    return attach_row(left, right).select(
         *[F.col(f"b_{n}").alias(f"baseline_{n}") for n in names],
         *[(F.col(f"s_{n}") - F.col(f"b_{n}")).alias(f"selected_minus_baseline_{n}") for n in names],
     )
@@ -174,12 +176,12 @@ def verify_metrics(stored: DataFrame, recomputed: DataFrame, ulps: int = 32) ->
     """
     counts = ["final_hits", "target_users", "labeled_users"]
     ratios = [ALL_TARGETS, LABELED]
-    left = stored.select(F.lit(1).alias("one"), *[F.col(n).alias(f"s_{n}") for n in counts + ratios])
-    right = recomputed.select(F.lit(1).alias("one"), *[F.col(n).alias(f"r_{n}") for n in counts + ratios])
+    left = stored.select(*[F.col(n).alias(f"s_{n}") for n in counts + ratios])
+    right = recomputed.select(*[F.col(n).alias(f"r_{n}") for n in counts + ratios])
     checks = [(F.col(f"s_{n}") == F.col(f"r_{n}")).alias(f"{n}_equal") for n in counts]
     for name in ratios:
         exact = F.col(f"r_{name}")
         exponent = F.floor(F.log2(F.greatest(F.abs(exact), F.lit(1e-300))))
         tolerance = F.lit(float(ulps)) * F.pow(F.lit(2.0), exponent - 52)
         checks.append((F.abs(F.col(f"s_{name}") - exact) <= tolerance).alias(f"{name}_close"))
-    return left.join(right, "one").select(*checks)
+    return attach_row(left, right).select(*checks)

@@ -117,26 +117,25 @@ def fit_als(
     )
 
 
-def _block_top(k: int):
-    """Score one block of queries against one block of items."""
+def _block_top(k: int, slice_rows: int = 256):
+    """Score one block of queries against one block of items, a few queries at a time."""
 
     def score(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        columns = ["user_id", "item_id", "score"]
         if queries.empty or items.empty:
-            return pd.DataFrame({c: [] for c in columns})
+            return pd.DataFrame({"user_id": [], "item_id": [], "score": []})
         left = np.stack(queries["features"].to_numpy()).astype(np.float64)
-        right = np.stack(items["features"].to_numpy()).astype(np.float64)
-        ids = items["item_id"].to_numpy()
-        scores = left @ right.T
-        parts = []
-        for row, (user, seen) in enumerate(zip(queries["user_id"], queries["seen_here"])):
-            keep = min(k + int(seen), len(ids))
-            edge = np.partition(scores[row], len(ids) - keep)[len(ids) - keep]
-            chosen = np.flatnonzero(scores[row] >= edge)  # every tie on the edge stays
-            parts.append(
-                pd.DataFrame({"user_id": user, "item_id": ids[chosen], "score": scores[row][chosen]})
-            )
-        return pd.concat(parts, ignore_index=True)[columns]
+        right = np.stack(items["features"].to_numpy()).astype(np.float64).T
+        users, ids = queries["user_id"].to_numpy(), items["item_id"].to_numpy()
+        keep = np.minimum(k + queries["seen_here"].to_numpy(), len(ids)).astype(int)
+        found = []
+        for start in range(0, len(users), slice_rows):
+            scores = left[start : start + slice_rows] @ right
+            for row, count in zip(range(len(scores)), keep[start:]):
+                edge = np.partition(scores[row], len(ids) - count)[len(ids) - count]
+                best = np.flatnonzero(scores[row] >= edge)  # every tie on the edge stays
+                found.append((np.full(len(best), start + row), best, scores[row][best]))
+        rows, columns, values = (np.concatenate(part) for part in zip(*found))
+        return pd.DataFrame({"user_id": users[rows], "item_id": ids[columns], "score": values})
 
     return score
 
@@ -148,13 +147,14 @@ def retrieve_top(
     k: int,
     source: str,
     *,
-    block_rows: int = 4096,
+    block_rows: int = 16384,
 ) -> DataFrame:
     """Exact unseen top ``k`` items per query vector.
 
     Queries and items are hashed into blocks of about ``block_rows`` vectors and
     every task multiplies one block of each, so no task holds more than two blocks
-    and no side is broadcast.  A block returns the best ``k`` plus as many rows as
+    and no side is broadcast.  Every query meets every item block, so the shuffled
+    copies shrink as blocks grow.  A block returns the best ``k`` plus as many rows as
     the user has seen in it, which is enough after the seen pairs are removed.
     """
     query_blocks = max(1, math.ceil(queries.count() / block_rows))

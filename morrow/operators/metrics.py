@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from morrow.functions.expressions import any_of
-from morrow.functions.joins import lookup_join
+from morrow.functions.joins import attach_row
 from morrow.functions.ranking import nearest_quantiles
 from morrow.operators.popularity import list_pairs
 from morrow.operators.union import active
@@ -32,23 +32,28 @@ def hit_pairs(candidates: DataFrame, truth: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def per_user_hits(pairs: DataFrame, truth: DataFrame, target_users: DataFrame) -> DataFrame:
-    """Relevant items and hits of every target user.
+def per_user_counts(pairs: DataFrame, truth: DataFrame, target_users: DataFrame) -> DataFrame:
+    """Candidates, relevant items and hits per target; the counts add up over shards.
 
-    The truth is the small side: hits are found by filtering it with the pairs.
+    Distinct pairs are marked while they are partitioned by pair, then counted by
+    user with partial sums.
     """
-    hits = (
-        hit_pairs(pairs, truth).groupBy("user_id").agg(F.count(F.lit(1)).alias("hits"))
+    marked = (
+        pairs.select(*PAIR_KEYS)
+        .distinct()
+        .join(truth.select(*PAIR_KEYS, F.lit(1).alias("hit")), PAIR_KEYS, "left")
+    )
+    counts = marked.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("count"), F.count("hit").alias("hits")
     )
     relevant = truth.groupBy("user_id").agg(F.count(F.lit(1)).alias("relevant"))
     return (
         target_users.select("user_id")
         .join(relevant, "user_id", "left")
-        .join(hits, "user_id", "left")
+        .join(counts, "user_id", "left")
         .select(
             "user_id",
-            F.coalesce("relevant", F.lit(0)).alias("relevant"),
-            F.coalesce("hits", F.lit(0)).alias("hits"),
+            *[F.coalesce(name, F.lit(0)).alias(name) for name in ("relevant", "count", "hits")],
         )
     )
 
@@ -77,7 +82,7 @@ def precision_at_20(
     The denominator is fixed, so the macro mean is a quotient of integer counts and
     does not depend on the order of summation.
     """
-    users = per_user_hits(list_pairs(recommendations), truth, target_users)
+    users = per_user_counts(list_pairs(recommendations), truth, target_users)
     return precision_from_hits(
         users.agg(
             F.coalesce(F.sum("hits"), F.lit(0)).alias("final_hits"),
@@ -93,22 +98,7 @@ def final_hit_count(recommendations: DataFrame, truth: DataFrame) -> DataFrame:
     )
 
 
-def per_user_counts(pairs: DataFrame, truth: DataFrame, target_users: DataFrame) -> DataFrame:
-    """Candidates, relevant items and hits per target; the counts add up over shards."""
-    counts = (
-        pairs.select(*PAIR_KEYS)
-        .distinct()
-        .groupBy("user_id")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
-    return (
-        per_user_hits(pairs, truth, target_users)
-        .join(counts, "user_id", "left")
-        .withColumn("count", F.coalesce("count", F.lit(0)))
-    )
-
-
-def _summary(by: Sequence[str] = ()) -> list[Column]:
+def _summary() -> list[Column]:
     hits, relevant, count = F.col("hits"), F.col("relevant"), F.col("count")
     labeled = F.count_if(relevant > 0)
     oracle = F.sum(F.least(hits, F.lit(EVALUATION_K)))
@@ -134,9 +124,7 @@ def summarize_counts(users: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     quantiles = nearest_quantiles(users, "count", names, keys)
     if keys:
         return users.groupBy(*keys).agg(*_summary()).join(quantiles, keys)
-    tagged = users.withColumn("__all", F.lit(1))
-    result = tagged.groupBy("__all").agg(*_summary())
-    return result.join(quantiles.withColumn("__all", F.lit(1)), "__all").drop("__all")
+    return attach_row(users.agg(*_summary()), quantiles)
 
 
 def candidate_metrics(
@@ -264,7 +252,7 @@ def overlap_report(users: DataFrame) -> DataFrame:
     }
     values = users.select(
         "*", *[share(F.col("common"), bottom).alias(name) for name, bottom in fractions.items()]
-    ).withColumn("__all", F.lit(1))
+    )
     aggregates = [
         left.alias("left_pairs"),
         right.alias("right_pairs"),
@@ -285,11 +273,11 @@ def overlap_report(users: DataFrame) -> DataFrame:
             F.count(name).alias(f"{name}_defined_users"),
             F.count_if(F.col(name).isNull()).alias(f"{name}_undefined_users"),
         ]
-    report = values.groupBy("__all").agg(*aggregates)
+    report = values.agg(*aggregates)
     for name in fractions:
-        high = nearest_quantiles(values.filter(F.col(name).isNotNull()), name, {f"{name}_p90": 0.9}, ["__all"])
-        report = report.join(high, "__all", "left")
-    return report.drop("__all")
+        defined = values.filter(F.col(name).isNotNull())
+        report = attach_row(report, nearest_quantiles(defined, name, {f"{name}_p90": 0.9}))
+    return report
 
 
 def hit_overlap(

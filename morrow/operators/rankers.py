@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morrow.functions.expressions import total_of
@@ -223,6 +225,26 @@ class GroupRanker:
         )
 
 
+def _softmax_sums(weights: np.ndarray, means: np.ndarray, scales: np.ndarray):
+    """Partial loss and gradient of the packed groups of one task, as one row."""
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loss, gradient = 0.0, np.zeros(len(weights))
+        for frame in frames:
+            for labels, flat in zip(frame["labels"], frame["values"]):
+                y = np.asarray(labels, dtype=np.float64)
+                x = (np.asarray(flat, dtype=np.float64).reshape(len(y), -1) - means) / scales
+                score = x @ weights
+                score -= score.max()
+                log_share = score - np.log(np.exp(score).sum())
+                target = y / y.sum()
+                loss -= target @ log_share
+                gradient += (np.exp(log_share) - target) @ x
+        yield pd.DataFrame({"loss": [loss], "gradient": [gradient]})
+
+    return sums
+
+
 def fit_group_ranker(
     rows: DataFrame,
     features: Sequence[str],
@@ -234,44 +256,41 @@ def fit_group_ranker(
 
     Minimizes the mean over groups of ``log sum exp(s) - mean s(positive)`` for a
     linear score.  The gradient needs each row once, with the softmax of its own
-    group, so no pairs of rows are formed.  Rows are stored clustered by group;
-    every step is a bounded window per group and one row of sums.
+    group, so no pairs of rows are formed.  A group holds at most a union cap of
+    rows; each is stored as one packed row, and an iteration is a scan of the stored
+    groups that returns one row of sums per task and shuffles nothing.
     """
     names = list(features)
-    labeled = rows.withColumn(
-        "__positives", F.sum(F.col("label").cast("bigint")).over(Window.partitionBy("group_id"))
-    ).filter(F.col("__positives") > 0)
-    stored = write_stage(labeled.repartition("group_id"), "groups")
-    moments = stored.agg(
-        F.count_distinct("group_id").alias("groups"),
-        *[F.avg(n).alias(f"m_{n}") for n in names],
-        *[F.stddev_pop(n).alias(f"s_{n}") for n in names],
+    numbers = F.array(*[F.col(n).cast("double") for n in names])
+    packed = (
+        rows.groupBy("group_id")
+        .agg(F.collect_list(F.struct(F.col("label").cast("double").alias("label"), numbers.alias("x"))).alias("e"))
+        .select("group_id", F.col("e.label").alias("labels"), F.flatten("e.x").alias("values"))
+        .filter(F.exists("labels", lambda label: label > 0))
+    )
+    stored = write_stage(packed, "groups")
+    moments = rows.agg(
+        *[F.avg(n).alias(f"m_{n}") for n in names], *[F.stddev_pop(n).alias(f"s_{n}") for n in names]
     ).first()
-    if not moments["groups"]:
+    groups = stored.count()
+    if not groups:
         raise ValueError("no group has a positive row")
-    means = [float(moments[f"m_{n}"]) for n in names]
-    scales = [float(moments[f"s_{n}"]) or 1.0 for n in names]
-    weights, losses = [0.0] * len(names), []
-    group = Window.partitionBy("group_id")
-    target = F.col("label").cast("double") / F.col("__positives")
+    means = np.array([moments[f"m_{n}"] for n in names], dtype=np.float64)
+    scales = np.array([moments[f"s_{n}"] or 1.0 for n in names], dtype=np.float64)
+    weights, losses = np.zeros(len(names)), []
     for _ in range(iterations):
-        model = GroupRanker(tuple(names), tuple(means), tuple(scales), tuple(weights), ())
-        scored = stored.withColumn("__s", model.score())
-        scored = scored.withColumn("__top", F.max("__s").over(group))
-        scored = scored.withColumn("__e", F.exp(F.col("__s") - F.col("__top")))
-        scored = scored.withColumn("__z", F.sum("__e").over(group))
-        error = F.col("__e") / F.col("__z") - target
-        log_share = F.col("__s") - F.col("__top") - F.log("__z")
-        sums = scored.agg(
-            F.sum(-target * log_share).alias("loss"),
-            *[
-                F.sum(error * (F.col(n).cast("double") - m) / s).alias(f"g_{n}")
-                for n, m, s in zip(names, means, scales)
-            ],
+        parts = stored.select("labels", "values").mapInPandas(
+            _softmax_sums(weights, means, scales), "loss double, gradient array<double>"
+        )
+        total = parts.agg(
+            F.sum("loss").alias("loss"),
+            *[F.sum(F.get("gradient", F.lit(i))).alias(f"g{i}") for i in range(len(names))],
         ).first()
-        losses.append(sums["loss"] / moments["groups"])
-        weights = [w - step * sums[f"g_{n}"] / moments["groups"] for w, n in zip(weights, names)]
-    return GroupRanker(tuple(names), tuple(means), tuple(scales), tuple(weights), tuple(losses))
+        losses.append(total["loss"] / groups)
+        weights = weights - step * np.array([total[f"g{i}"] for i in range(len(names))]) / groups
+    return GroupRanker(
+        tuple(names), tuple(means.tolist()), tuple(scales.tolist()), tuple(weights.tolist()), tuple(losses)
+    )
 
 
 def evaluate_scores(
