@@ -16,9 +16,6 @@ RECOMMENDED_CONF = {
     # A skew join may cost one more exchange; that beats one overloaded task.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # HotSpot does not compile methods above 8000 bytecodes; wide rows are faster
-    # without whole-stage code than in one interpreted method.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.parquet.compression.codec": "zstd",
 }
 
