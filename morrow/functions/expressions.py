@@ -20,10 +20,16 @@ def col(value: str | Column) -> Column:
 
 
 def instant(value: datetime | Column) -> Column:
-    """A reference time given as a Python value or as a column."""
+    """A reference time given as a Python value or as a column.
+
+    The value travels as text: a timestamp literal would pass through the time zones
+    of the driver and of the session.
+    """
     if isinstance(value, Column):
         return value
-    return F.lit(value).cast(T.TimestampNTZType())
+    if value.tzinfo is not None:
+        raise ValueError("reference times carry no time zone")
+    return F.lit(value.isoformat(sep=" ")).cast(T.TimestampNTZType())
 
 
 def event_indicator(name: str, event_type: str | Column = "event_type") -> Column:
