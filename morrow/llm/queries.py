@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morrow.llm import exact_dedup, pii, vector_topk
+from morrow.llm import exact_dedup, packing, pii, toxicity, vector_topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,13 +22,30 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(_table(spark, sf_dir, "documents"))
 
 
+def word_tokenizer() -> str:
+    """Where the public tokenizer of the packing query lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), word_tokenizer(), 4096)
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
     "op7_pii": op7_pii,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_exact_top_k": op10_exact_top_k,
 }
 
