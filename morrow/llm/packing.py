@@ -139,9 +139,9 @@ def token_pieces(
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at, to in grouped_texts(texts):
-                ids, counts = encoder.encode(texts.slice(at, to - at).to_pylist())
+                ids, counts = encoder.encode(texts[at:to])
                 rows: list[tuple] = []
                 base = 0
                 for doc_id, count in zip(doc_ids[at:to], counts.tolist(), strict=True):
