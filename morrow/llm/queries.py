@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morrow.llm import exact_dedup, packing, pii, toxicity, vector_topk
+from morrow.llm import exact_dedup, near_dedup, packing, pii, toxicity, vector_topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_digest(_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(_table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_pii": op7_pii,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_exact_top_k": op10_exact_top_k,
