@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morrow.llm import exact_dedup, html_text, near_dedup, packing, pii, toxicity, vector_topk
+from morrow.llm import exact_dedup, html_text, line_dedup, near_dedup, packing, pii, toxicity, vector_topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digest(_table(spark, sf_dir, "documents"), min_lines=3)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -50,6 +54,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
@@ -60,6 +65,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": """
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        w AS (
+          SELECT doc_id, i, lines[i : i + 2] AS run
+          FROM (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS i FROM d)),
+        s AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1),
+        g AS (SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS i FROM s),
+        r AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM g),
+        a AS (SELECT doc_id, list(i) AS gone, count(*) AS n_removed, count(DISTINCT island) AS n_runs FROM r GROUP BY doc_id)
+        SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,
+               sha256(coalesce(array_to_string(list_filter(lines, lambda x, j: gone IS NULL OR NOT list_contains(gone, j)), chr(10)), '')) AS kept_sha256
+        FROM d LEFT JOIN a USING (doc_id)""",
     "op3_exact_dedup": r"""
         WITH t AS (
           SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
