@@ -231,12 +231,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_components(
-    docs: DataFrame, width: int = 5, percent: int = 80, stars: int = 2
+    docs: DataFrame, width: int = 5, percent: int = 80, stars: int = 2, keyed: bool = False
 ) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of ``percent``.
 
     Returns one row per input row: ``node, doc_id, n_shingles, component`` (a node), and
-    ``component_id``, the smallest doc_id reachable.
+    ``component_id``, the smallest doc_id reachable; with ``keyed`` also the text's hash,
+    ``text_key``, which names the row together with doc_id.
 
     Documents with the same set are merged first.  Then candidates come from the buckets of
     equal bands.  In the first ``stars`` rounds each member of a bucket meets one pivot only,
@@ -292,10 +293,11 @@ def near_components(
     whole = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select(
         "set_key", F.coalesce("root", "class").alias("component")
     )
-    placed = sketch.select("node", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key"))
+    kept = ["text_key"] if keyed else []
+    placed = sketch.select("node", "doc_id", "n_shingles", *kept, F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key"))
     placed = placed.join(whole, "set_key", "left").withColumn("component", F.coalesce("component", "node"))
     names = placed.groupBy("component").agg(low.alias("low")).select("component", F.col("low.doc_id").alias("component_id"))
-    return placed.join(names, "component").select("node", "doc_id", "n_shingles", "component", "component_id")
+    return placed.join(names, "component").select("node", "doc_id", "n_shingles", "component", "component_id", *kept)
 
 
 def _texts_of(docs: DataFrame, sketch: DataFrame, regs: DataFrame) -> DataFrame:
@@ -324,3 +326,24 @@ def near_digest(docs: DataFrame, width: int, percent: int) -> DataFrame:
         "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each component, with the columns of ``documents``.
+
+    The document with the smallest doc_id stays; where rows share it, the first of them.
+    """
+    found = stored(near_components(docs, width, percent, keyed=True), "components")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "node")
+    kept = found.groupBy("component").agg(F.min(order).alias("first"))
+    kept = kept.select("first.node").join(found.select("node", "doc_id", "text_key"), "node")
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).distinct()
+    rows = documents_like(docs).withColumn("text_key", F.xxhash64(body()))
+    stay = rows.join(
+        kept, rows["doc_id"].eqNullSafe(kept["kept_id"]) & (rows["text_key"] == kept["kept_key"]), "left_semi"
+    )
+    twice = found.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not twice.isEmpty():
+        # Rows repeated as a whole are one document here.
+        stay = stay.dropDuplicates(["doc_id", "text_key"])
+    return documents_like(stay)
