@@ -278,7 +278,7 @@ def _by_range(ranges: int, first: int, shard: int, key: np.ndarray, *columns: np
     order = np.lexsort((key, where))
     where, key, columns = where[order], key[order], [c[order] for c in columns]
     numbers, starts = np.unique(where, return_index=True)
-    stops = np.append(starts[1:], len(where))
+    stops = np.append(starts[1:], len(where))[: len(starts)]
     packs = [[c[a:b].tobytes() for a, b in zip(starts, stops, strict=True)] for c in (key, *columns)]
     packs += [[None] * len(numbers)] * (4 - len(packs))
     return pa.RecordBatch.from_arrays(
