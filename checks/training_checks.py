@@ -39,7 +39,7 @@ def _(w: World):
 
 # Folds for the allocation rows: the strata of retained rows under three fold names.
 step("stratified", f"SELECT {STRATUM} AS sampling_stratum, label FROM lab WHERE is_training_sample")
-step("foldnames", "SELECT unnest(['rolling_1', 'rolling_2', 'canonical']) AS fold")
+step("foldnames", "SELECT * FROM (VALUES (0, 'rolling_1'), (1, 'rolling_2'), (2, 'canonical')) t(position, fold)")
 step(
     "stratarows",
     """SELECT fold, s.name AS sampling_stratum, (SELECT count(*) FROM stratified t WHERE t.sampling_stratum = s.name) AS rows
@@ -48,13 +48,16 @@ step(
 )
 step(
     "budget",
-    """SELECT fold, CAST(floor(2000 / 3) AS BIGINT) + CAST(row_number() OVER (ORDER BY fold) - 1 < 2000 % 3 AS INT) AS allocated,
+    """SELECT fold, CAST(floor(2000 / 3) AS BIGINT) + CAST(position < 2000 % 3 AS INT) AS allocated,
     (SELECT count(*) FROM stratified) AS n, (SELECT CAST(sum(label) AS BIGINT) FROM stratified) AS p FROM foldnames""",
 )
 
 
+FOLDS = ("rolling_1", "rolling_2", "canonical")
+
+
 def _folds(w: World):
-    names = F.array(*[F.lit(n) for n in ("rolling_1", "rolling_2", "canonical")])
+    names = F.array(*[F.lit(n) for n in FOLDS])
     return sampling.stratum_counts(w.labeled_union).withColumn("fold", F.explode(names))
 
 
@@ -67,7 +70,7 @@ def _folds(w: World):
       FROM stratarows s JOIN budget USING (fold)) s""",
 )
 def _(w: World):
-    return sampling.sampling_plan(_folds(w), 2000)
+    return sampling.sampling_plan(_folds(w), 2000, FOLDS)
 
 
 @check(
@@ -76,11 +79,33 @@ def _(w: World):
     {r('least(1.0, (allocated - p) / CAST(n - p AS DOUBLE))', 'secondary_negative_probability')} FROM budget""",
 )
 def _(w: World):
-    positive = F.col("sampling_stratum") == "positive"
-    counts = _folds(w).groupBy("fold").agg(
-        F.sum("rows").alias("rows"), F.sum(F.when(positive, F.col("rows")).otherwise(0)).alias("positives")
-    )
-    return sampling.allocate_probabilities(counts, 2000)
+    return sampling.allocate_probabilities(sampling.fold_totals(_folds(w)), 2000, FOLDS)
+
+
+def _short(target: int, reason: str) -> str:
+    """Folds of a budget that does not fit."""
+    return f"""SELECT fold, p AS positives, n AS rows, a AS allocated FROM (
+      SELECT fold, p, n, CAST({target} // 3 + CAST(position < {target} % 3 AS INT) AS BIGINT) AS a
+      FROM foldnames JOIN budget USING (fold)) WHERE {reason}"""
+
+
+@check("R4_infeasible_budgets", _short(10**9 + 1, "a <= p OR a > n"))
+def _(w: World):
+    return sampling.infeasible_plan(_folds(w), 10**9 + 1, FOLDS)
+
+
+@check("R5_infeasible_budgets", _short(4, "n <= p OR a <= p"))
+def _(w: World):
+    return sampling.infeasible_allocations(sampling.fold_totals(_folds(w)), 4, FOLDS)
+
+
+@check(
+    "R6_dropped_positives",
+    "SELECT user_id, item_id FROM lab WHERE label = 1 AND item_id % 5 = 0",
+)
+def _(w: World):
+    kept = w.labeled_union.filter(F.col("item_id") % 5 != 0)
+    return sampling.dropped_positives(w.labeled_union, kept)
 
 
 def _second(fold_text: str, p: float) -> str:

@@ -1,69 +1,28 @@
-"""Joins that hold up when one key carries a large share of the rows."""
+"""Joins of a large side with a side of unique keys."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from morrow.functions.stages import fits_broadcast
-
-HOT_KEY_LIMIT = 1000
-_SALT = "__salt"
-
-
-def frequent_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_KEY_LIMIT) -> DataFrame:
-    """Keys with at least ``1/limit`` of all rows.
-
-    At most ``limit`` keys can have that many rows, so the result is always small.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    total = counts.agg(F.sum("__rows").alias("total")).scalar()
-    return counts.filter(F.col("__rows") * limit >= total).select(*keys)
-
-
-def _spread(df: DataFrame, salts: int) -> Column:
-    return F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
-
 
 def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: str | Sequence[str],
-    how: str = "left",
-    *,
-    salts: int = 64,
+    left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "left"
 ) -> DataFrame:
     """Join a large side with a side whose keys are unique (or only filter by it).
 
-    When the size estimate of ``right`` is under the broadcast limit Catalyst
-    broadcasts it and nothing is shuffled.  Otherwise both sides are shuffled,
-    and the rows of every frequent left key are spread over ``salts`` tasks, with
-    the one matching right row copied to each of them.  ``how`` is one of left,
-    inner, left_semi and left_anti; the result does not depend on the route.
+    Catalyst broadcasts ``right`` where its size is under the session's limit.  Beyond it
+    both sides are shuffled once, and adaptive execution splits the partition of a hot
+    left key over several tasks, each with a copy of the matching right rows
+    (``spark.sql.adaptive.skewJoin``).  Either side occurs once in the plan, so chains of
+    lookups grow linearly.  ``how`` is one of left, inner, left_semi and left_anti: joins
+    whose left side can be split.
     """
-    keys = [on] if isinstance(on, str) else list(on)
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported lookup join: {how}")
-    if fits_broadcast(right):
-        return left.join(right, keys, how)
-    hot = frequent_keys(left, keys).withColumn("__hot", F.lit(True))
-    is_hot = F.coalesce(F.col("__hot"), F.lit(False))
-    salted_left = (
-        left.join(F.broadcast(hot), keys, "left")
-        .withColumn(_SALT, F.when(is_hot, _spread(left, salts)).otherwise(F.lit(0)))
-        .drop("__hot")
-    )
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    salted_right = (
-        right.join(F.broadcast(hot), keys, "left")
-        .withColumn(_SALT, F.explode(copies))
-        .drop("__hot")
-    )
-    return salted_left.join(salted_right, [*keys, _SALT], how).drop(_SALT)
+    return left.join(right, [on] if isinstance(on, str) else list(on), how)
 
 
 def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Stage boundaries and size checks.
+"""Stage boundaries.
 
 A stage that several later jobs read is written once, as parquet, to the shared
 folder named by ``spark.checkpoint.dir``.  The copy survives the loss of any
@@ -14,14 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names, or a temporary one when none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    named = spark.sparkContext.getCheckpointDir()
+    """The folder that the cluster names.
+
+    Only a local master, whose tasks all see the driver's disk, gets a temporary folder
+    where none is named; elsewhere every machine would write to a disk of its own.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-morrow-"))
-        named = spark.sparkContext.getCheckpointDir()
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-morrow-"))
+        named = context.getCheckpointDir()
     return named.rstrip("/")
 
 
@@ -31,14 +35,3 @@ def write_stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimized plan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether the estimate is under the session's broadcast limit."""
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return 0 <= estimated_bytes(df) <= limit

@@ -30,6 +30,7 @@ FULL_FIT_STREAM = "task11:{fold}"
 BACKTEST_STREAM = "task12:train:{fold}"
 EVALUATION_USER_STREAM = "task12:eval_users"
 EXPANDED_STREAM = "expanded_ranker:{fold}"
+TRAINING_FOLDS = ("rolling_1", "rolling_2", "rolling_3", "canonical")
 HARD_RANK = 50
 EASY_PROBABILITY = 0.05
 
@@ -113,53 +114,91 @@ def stratum_counts(rows: DataFrame) -> DataFrame:
     )
 
 
-def _fold_targets(counts: DataFrame, target_rows: int) -> DataFrame:
-    """Equal row budgets; the first folds take the remainder.  One row per fold."""
-    folds = F.count(F.lit(1)).over(Window.partitionBy())
-    index = F.row_number().over(Window.orderBy("fold")) - 1
-    total = F.lit(target_rows)
-    share = F.floor(total / folds) + (index < total % folds).cast("int")
-    return counts.withColumn("allocated", share.cast("bigint"))
+def _fold_targets(counts: DataFrame, target_rows: int, folds: Sequence[str]) -> DataFrame:
+    """Equal row budgets; the first of ``folds`` take the remainder.  One row per fold.
 
+    A fold that is not listed gets no budget (null), which every check below reports.
+    """
+    names = list(dict.fromkeys(folds))
+    share, left = divmod(target_rows, len(names))
+    place = F.array_position(F.array(*[F.lit(name) for name in names]), F.col("fold"))
+    budget = F.when(place > 0, F.lit(share) + (place <= left).cast("int"))
+    return counts.withColumn("allocated", budget.cast("bigint"))
+
+
+def _probability(value: Column, what: str) -> Column:
+    """The value, where it lies in (0, 1]; evaluating the row fails elsewhere."""
+    message = F.concat(F.lit(f"infeasible {what} of fold "), F.col("fold").cast("string"))
+    return F.when((value > 0) & (value <= 1), value).otherwise(F.raise_error(message).cast("double"))
+
+
+def allocate_probabilities(
+    counts: DataFrame, target_rows: int, folds: Sequence[str] = TRAINING_FOLDS
+) -> DataFrame:
+    """Second-stage negative probability per fold from (fold, positives, rows).
 
-def allocate_probabilities(counts: DataFrame, target_rows: int) -> DataFrame:
-    """Second-stage negative probability per fold from (fold, positives, rows)."""
+    A fold whose budget cannot hold its positives and a negative fails.
+    """
     free = F.col("rows") - F.col("positives")
-    wanted = (F.col("allocated") - F.col("positives")) / free
-    return _fold_targets(counts, target_rows).select(
+    wanted = (F.col("allocated") - F.col("positives")) / F.nullif(free, F.lit(0))
+    capped = F.when(wanted.isNotNull(), F.least(F.lit(1.0), wanted))
+    return _fold_targets(counts, target_rows, folds).select(
         "fold",
         F.col("rows").alias("source_rows"),
         F.col("positives").alias("positive_rows"),
         F.least("allocated", "rows").alias("target_rows"),
-        F.when(free > 0, F.least(F.lit(1.0), wanted)).alias("secondary_negative_probability"),
+        _probability(capped, "budget").alias("secondary_negative_probability"),
+    )
+
+
+def infeasible_allocations(
+    counts: DataFrame, target_rows: int, folds: Sequence[str] = TRAINING_FOLDS
+) -> DataFrame:
+    """Folds without budget, or whose budget cannot hold all positives and some negatives."""
+    rows = _fold_targets(counts, target_rows, folds)
+    short = (F.col("rows") <= F.col("positives")) | (F.col("allocated") <= F.col("positives"))
+    return rows.filter(F.col("allocated").isNull() | short).select(
+        "fold", "positives", "rows", "allocated"
     )
 
 
-def infeasible_allocations(counts: DataFrame, target_rows: int) -> DataFrame:
-    """Folds whose budget cannot hold all positives and some negatives."""
-    rows = _fold_targets(counts, target_rows)
-    return rows.filter(
-        (F.col("rows") <= F.col("positives")) | (F.col("allocated") <= F.col("positives"))
-    ).select("fold", "positives", "rows", "allocated")
+def fold_totals(counts: DataFrame) -> DataFrame:
+    """Rows and positives per fold from counts per fold and stratum."""
+    positive = F.when(F.col("sampling_stratum") == "positive", F.col("rows")).otherwise(0)
+    return counts.groupBy("fold").agg(
+        F.sum("rows").alias("rows"), F.sum(positive).alias("positives")
+    )
+
+
+def infeasible_plan(
+    counts: DataFrame, target_rows: int, folds: Sequence[str] = TRAINING_FOLDS
+) -> DataFrame:
+    """Folds for which ``sampling_plan`` has no probability in (0, 1]."""
+    rows = _fold_targets(fold_totals(counts), target_rows, folds)
+    fits = (F.col("allocated") > F.col("positives")) & (F.col("allocated") <= F.col("rows"))
+    return rows.filter(~F.coalesce(fits, F.lit(False))).select(
+        "fold", "positives", "rows", "allocated"
+    )
 
 
-def sampling_plan(counts: DataFrame, target_rows: int) -> DataFrame:
+def sampling_plan(
+    counts: DataFrame, target_rows: int, folds: Sequence[str] = TRAINING_FOLDS
+) -> DataFrame:
     """Inclusion probabilities and weights per fold and stratum.
 
-    ``counts`` has one row per fold and stratum: fold, sampling_stratum, rows.
+    ``counts`` has one row per fold and stratum: fold, sampling_stratum, rows.  Rows of a fold
+    listed by ``infeasible_plan`` fail when they are evaluated: no weight is ever
+    taken from a probability outside (0, 1].
     """
-    is_positive = F.col("sampling_stratum") == "positive"
-    per_fold = counts.groupBy("fold").agg(
-        F.sum("rows").alias("rows"),
-        F.sum(F.when(is_positive, F.col("rows")).otherwise(0)).alias("positives"),
-    )
-    targets = _fold_targets(per_fold, target_rows).select(
+    free = F.nullif(F.col("rows") - F.col("positives"), F.lit(0))
+    targets = _fold_targets(fold_totals(counts), target_rows, folds).select(
         "fold",
         F.col("allocated").alias("target_rows"),
-        ((F.col("allocated") - F.col("positives")) / (F.col("rows") - F.col("positives"))).alias("p"),
+        ((F.col("allocated") - F.col("positives")) / free).alias("p"),
     )
+    is_positive = F.col("sampling_stratum") == "positive"
     first = F.when(F.col("sampling_stratum") == "easy_negative", EASY_PROBABILITY).otherwise(1.0)
-    second = F.when(is_positive, 1.0).otherwise(F.col("p"))
+    second = F.when(is_positive, 1.0).otherwise(_probability(F.col("p"), "sampling probability"))
     return counts.join(targets, "fold").select(
         "fold",
         "sampling_stratum",
@@ -378,3 +417,9 @@ def scope_violations(
     """Training folds whose label day reaches past the evaluation horizon."""
     day = timedelta(days=1)
     return [fold for fold in training if cutoffs[fold] + day > horizon]
+
+
+def dropped_positives(labeled: DataFrame, kept: DataFrame) -> DataFrame:
+    """Positive pairs that a sampling stage has lost; there must be none."""
+    positives = labeled.filter(F.col("label") == 1).select(*PAIR_KEYS)
+    return positives.join(kept.select(*PAIR_KEYS), PAIR_KEYS, "left_anti")

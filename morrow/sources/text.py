@@ -74,9 +74,9 @@ def recommendation_text_checks(rows: DataFrame, k: int = 20) -> DataFrame:
 
 
 def parse_recommendations(rows: DataFrame) -> DataFrame:
-    """Typed recommendations from checked text rows."""
+    """Typed recommendations from checked text rows; ids keep all 64 unsigned bits."""
     return rows.select(
-        F.col("user_id").cast("decimal(20,0)").cast("bigint").alias("user_id"),
+        F.col("user_id").cast("decimal(20,0)").alias("user_id"),
         F.from_json("item_ids", "array<int>").alias("item_ids"),
     )
 

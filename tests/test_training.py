@@ -126,11 +126,31 @@ def test_second_stage_weights(spark):
 
 def test_allocation(spark):
     counts = spark.createDataFrame([("a", 10, 100), ("b", 20, 30)], "fold string, positives bigint, rows bigint")
-    out = sampling.allocate_probabilities(counts, 81)
+    out = sampling.allocate_probabilities(counts, 81, ("a", "b"))
     assert rows(out, "fold", "target_rows", "secondary_negative_probability") == [
         ("a", 41, pytest.approx(31 / 90)), ("b", 30, 1.0),
     ]
-    assert rows(sampling.infeasible_allocations(counts, 40), "fold") == [("b",)]
+    assert rows(sampling.infeasible_allocations(counts, 40, ("a", "b")), "fold") == [("b",)]
+
+
+def test_remainder_goes_to_the_first_listed_fold(spark):
+    counts = spark.createDataFrame(
+        [(f, s, n) for f in ("rolling_1", "canonical") for s, n in (("positive", 5), ("easy_negative", 50))],
+        "fold string, sampling_stratum string, rows bigint",
+    )
+    plan = sampling.sampling_plan(counts, 41, ("rolling_1", "canonical"))
+    assert {(r["fold"], r["target_rows"]) for r in plan.collect()} == {("rolling_1", 21), ("canonical", 20)}
+
+
+@pytest.mark.parametrize("target", [8, 400])
+def test_infeasible_probabilities_never_become_weights(spark, target):
+    counts = spark.createDataFrame(
+        [("canonical", s, n) for s, n in (("positive", 10), ("easy_negative", 50))],
+        "fold string, sampling_stratum string, rows bigint",
+    )
+    assert rows(sampling.infeasible_plan(counts, target, ("canonical",)), "fold") == [("canonical",)]
+    with pytest.raises(Exception, match="infeasible sampling probability of fold canonical"):
+        sampling.sampling_plan(counts, target, ("canonical",)).collect()
 
 
 def test_profiles_do_not_depend_on_the_basis(spark, daily, noon):
