@@ -70,7 +70,7 @@ def _(w: World):
     return popularity.short_users(rows, w.targets, 50)
 
 
-def _recency(name: str, config: popularity.RecencyConfig, score: str) -> None:
+def _recency(name: str, config: popularity.Recency, score: str) -> None:
     ranking = f"rk_{name}"
     step(
         ranking,
@@ -87,12 +87,12 @@ def _recency(name: str, config: popularity.RecencyConfig, score: str) -> None:
 _recency("decay", fixtures.RECENCY, "sum(views * exp(-ln(2.0) * age / 24.0))")
 _recency(
     "window",
-    popularity.RecencyConfig("window", "positive_daily_rows", window_hours=12),
+    popularity.WindowViews("positive_daily_rows", hours=12),
     "CAST(sum(CASE WHEN age <= 12 THEN is_positive ELSE 0 END) AS DOUBLE)",
 )
 _recency(
     "window_blend",
-    popularity.RecencyConfig("window_blend", window_weights={None: 0.1, 24.0: 1.0, 72.0: 0.25}),
+    popularity.BlendedViews({None: 0.1, 24.0: 1.0, 72.0: 0.25}),
     "0.1 * sum(views) + 1.0 * sum(CASE WHEN age <= 24 THEN views ELSE 0 END)"
     " + 0.25 * sum(CASE WHEN age <= 72 THEN views ELSE 0 END)",
 )
@@ -101,9 +101,7 @@ _LONG = "sum(CASE WHEN age <= 100000 THEN views ELSE 0 END)"
 _SHARE = "least(1.0, 24.0 / least(100000.0, (SELECT max(age) FROM aged)))"
 _recency(
     "trending",
-    popularity.RecencyConfig(
-        "trending", short_window_hours=24, long_window_hours=100000, smoothing=5
-    ),
+    popularity.TrendingViews(short=24, long=100000, smoothing=5),
     f"ln(1 + {_SHORT}) * (({_SHORT} + 5.0 * {_SHARE}) / ({_LONG} + 5.0) / {_SHARE})",
 )
 

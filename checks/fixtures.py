@@ -23,7 +23,7 @@ CAPS = {"global_popularity": 20, "recency_popularity": 20, "item2item": 20, "imp
 TOTAL_CAP = 80
 UNION = union.UnionConfig(CAPS, TOTAL_CAP)
 GLOBAL_SCORE = "distinct_relevant_users"
-RECENCY = popularity.RecencyConfig("decay", "raw_views", half_life_hours=24.0)
+RECENCY = popularity.DecayedViews(24.0)
 COVISIT = covisit.CovisitConfig(
     normalization="cosine",
     history_cap=10,

@@ -448,7 +448,9 @@ def _(w: World):
 
 @check("A23_history_pairs", 'SELECT user_id, item_id, positive, "like", favorite, long_watch FROM hpair')
 def _(w: World):
-    return profiles.history_pairs(w.history, w.targets)
+    pairs = profiles.history_pairs(w.history, w.targets)
+    kinds = [profiles.carries(kind).cast("int").alias(kind) for kind in profiles.PROFILE_KINDS]
+    return pairs.select("user_id", "item_id", *kinds)
 
 
 @check(

@@ -118,11 +118,15 @@ def fit_als(
 
 
 def _block_top(k: int, slice_rows: int = 256):
-    """Score one block of queries against one block of items, a few queries at a time."""
+    """Score one block of queries against one block of items, a few queries at a time.
+
+    A query gets exactly ``k + seen_here`` rows of the block (or all): ties go to smaller ids.
+    """
 
     def score(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or items.empty:
             return pd.DataFrame({"user_id": [], "item_id": [], "score": []})
+        items = items.sort_values("item_id", kind="stable")
         left = np.stack(queries["features"].to_numpy()).astype(np.float64)
         right = np.stack(items["features"].to_numpy()).astype(np.float64).T
         users, ids = queries["user_id"].to_numpy(), items["item_id"].to_numpy()
@@ -132,7 +136,9 @@ def _block_top(k: int, slice_rows: int = 256):
             scores = left[start : start + slice_rows] @ right
             for row, count in zip(range(len(scores)), keep[start:]):
                 edge = np.partition(scores[row], len(ids) - count)[len(ids) - count]
-                best = np.flatnonzero(scores[row] >= edge)  # every tie on the edge stays
+                above = np.flatnonzero(scores[row] > edge)
+                ties = np.flatnonzero(scores[row] == edge)[: count - len(above)]  # smallest ids
+                best = np.concatenate([above, ties])
                 found.append((np.full(len(best), start + row), best, scores[row][best]))
         rows, columns, values = (np.concatenate(part) for part in zip(*found))
         return pd.DataFrame({"user_id": users[rows], "item_id": ids[columns], "score": values})

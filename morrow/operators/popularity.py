@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -26,7 +26,6 @@ POPULARITY_SCORES = (
 )
 # Names of the recency signals and score families.
 RECENCY_SIGNALS = ("raw_views", "positive_daily_rows")
-RECENCY_KINDS = ("window", "decay", "trending", "window_blend")
 
 GLOBAL_SOURCE = "global_popularity"
 RECENCY_SOURCE = "recency_popularity"
@@ -90,92 +89,99 @@ def history_span_hours(daily: DataFrame, reference: datetime | Column) -> DataFr
     return first.select(age_hours("first", reference).alias("history_span_hours"))
 
 
+def _positive(name: str, value: float) -> None:
+    if not (math.isfinite(value) and value > 0):
+        raise ValueError(f"{name} must be positive and finite")
+
+
 @dataclass(frozen=True)
-class RecencyConfig:
-    """One temporal popularity definition and the parameters it needs."""
+class WindowViews:
+    """Score: the signal inside one window, or in the whole history."""
 
-    kind: str
     signal: str = "raw_views"
-    window_hours: float | None = None
-    half_life_hours: float | None = None
-    short_window_hours: float | None = None
-    long_window_hours: float | None = None
-    smoothing: float | None = None
-    window_weights: Mapping[float | None, float] = field(default_factory=dict)
+    hours: float | None = None
 
     def __post_init__(self) -> None:
-        if self.kind not in RECENCY_KINDS:
-            raise ValueError(f"kind must be one of {RECENCY_KINDS}")
-        if self.signal not in RECENCY_SIGNALS:
-            raise ValueError(f"signal must be one of {RECENCY_SIGNALS}")
-        given = {
-            name
-            for name in (
-                "window_hours",
-                "half_life_hours",
-                "short_window_hours",
-                "long_window_hours",
-                "smoothing",
-            )
-            if getattr(self, name) is not None
-        }
-        if self.window_weights:
-            given.add("window_weights")
-        for name in given - {"window_weights"}:
-            value = float(getattr(self, name))
-            if not math.isfinite(value) or value <= 0:
-                raise ValueError(f"{name} must be positive and finite")
-        if any(not weight > 0 for weight in self.window_weights.values()):
-            raise ValueError("window weights must be positive")
-        needed = {
-            "window": set(),
-            "decay": {"half_life_hours"},
-            "trending": {"short_window_hours", "long_window_hours", "smoothing"},
-            "window_blend": {"window_weights"},
-        }[self.kind]
-        allowed = needed | ({"window_hours"} if self.kind == "window" else set())
-        if needed - given or given - allowed:
-            raise ValueError(
-                f"{self.kind} needs {sorted(needed)} and accepts {sorted(allowed)}, "
-                f"got {sorted(given)}"
-            )
-        if self.kind == "trending" and self.short_window_hours >= self.long_window_hours:
-            raise ValueError("the short window must be below the long window")
+        if self.hours is not None:
+            _positive("hours", self.hours)
 
-    def windows(self) -> set[float]:
-        used = {self.window_hours, self.short_window_hours, self.long_window_hours}
-        return {value for value in used | set(self.window_weights) if value is not None}
+    def grid(self) -> tuple[set[float], set[float]]:
+        """Windows and half-lives that the statistics must hold."""
+        return {self.hours} - {None}, set()
 
-    def half_lives(self) -> set[float]:
-        return set() if self.half_life_hours is None else {self.half_life_hours}
+    def score(self, span_hours: Column) -> Column:
+        return F.col(window_column(self.signal, self.hours))
 
 
-def recency_score(config: RecencyConfig, span_hours: Column | None = None) -> Column:
-    """Score expression over the statistics grid.
+@dataclass(frozen=True)
+class DecayedViews:
+    """Score: the signal, halved with every ``half_life`` of age."""
 
-    Trending compares the short with the long window, both cut to the span of the
-    history, and needs that span.
-    """
+    half_life: float
+    signal: str = "raw_views"
 
-    def amount(hours: float | None) -> Column:
-        return F.col(window_column(config.signal, hours))
-
-    if config.kind == "window":
-        return amount(config.window_hours)
-    if config.kind == "decay":
-        return F.col(decay_column(config.signal, config.half_life_hours))
-    if config.kind == "window_blend":
-        return total_of(amount(w) * F.lit(float(x)) for w, x in config.window_weights.items())
-    if span_hours is None:
-        raise ValueError("trending scores need the history span")
-    short, long = amount(config.short_window_hours), amount(config.long_window_hours)
-    share = F.least(
-        F.lit(1.0),
-        F.least(F.lit(float(config.short_window_hours)), span_hours)
-        / F.least(F.lit(float(config.long_window_hours)), span_hours),
-    )
-    alpha = F.lit(float(config.smoothing))
-    return F.log1p(short) * ((short + alpha * share) / (long + alpha) / share)
+    def __post_init__(self) -> None:
+        _positive("half_life", self.half_life)
+
+    def grid(self) -> tuple[set[float], set[float]]:
+        return set(), {self.half_life}
+
+    def score(self, span_hours: Column) -> Column:
+        return F.col(decay_column(self.signal, self.half_life))
+
+
+@dataclass(frozen=True)
+class BlendedViews:
+    """Score: a weighted sum over windows (None: the whole history)."""
+
+    weights: Mapping[float | None, float]
+    signal: str = "raw_views"
+
+    def __post_init__(self) -> None:
+        if not self.weights:
+            raise ValueError("a blend needs weights")
+        for hours, weight in self.weights.items():
+            _positive("weight", weight)
+            if hours is not None:
+                _positive("hours", hours)
+
+    def grid(self) -> tuple[set[float], set[float]]:
+        return set(self.weights) - {None}, set()
+
+    def score(self, span_hours: Column) -> Column:
+        return total_of(
+            F.col(window_column(self.signal, hours)) * F.lit(float(weight))
+            for hours, weight in self.weights.items()
+        )
+
+
+@dataclass(frozen=True)
+class TrendingViews:
+    """Score: a short window against a long one, both cut to the span of the history."""
+
+    short: float
+    long: float
+    smoothing: float
+    signal: str = "raw_views"
+
+    def __post_init__(self) -> None:
+        for name in ("short", "long", "smoothing"):
+            _positive(name, getattr(self, name))
+        if self.short >= self.long:
+            raise ValueError("the short window must be below the long window")
+
+    def grid(self) -> tuple[set[float], set[float]]:
+        return {self.short, self.long}, set()
+
+    def score(self, span_hours: Column) -> Column:
+        short, long = (F.col(window_column(self.signal, h)) for h in (self.short, self.long))
+        cut = [F.least(F.lit(float(h)), span_hours) for h in (self.short, self.long)]
+        share = F.least(F.lit(1.0), cut[0] / cut[1])
+        alpha = F.lit(float(self.smoothing))
+        return F.log1p(short) * ((short + alpha * share) / (long + alpha) / share)
+
+
+Recency = WindowViews | DecayedViews | BlendedViews | TrendingViews
 
 
 def rank_items(stats: DataFrame, score: Column, *, positive_only: bool = False) -> DataFrame:
@@ -194,13 +200,13 @@ def fit_global_popularity(daily: DataFrame, score: str) -> DataFrame:
 
 
 def fit_recency_popularity(
-    daily: DataFrame, reference: datetime | Column, config: RecencyConfig
+    daily: DataFrame, reference: datetime | Column, config: Recency
 ) -> DataFrame:
-    stats = recency_statistics(
-        daily, reference, sorted(config.windows()), sorted(config.half_lives())
-    )
-    span = history_span_hours(daily, reference).scalar() if config.kind == "trending" else None
-    return rank_items(stats, recency_score(config, span), positive_only=True)
+    windows, half_lives = config.grid()
+    stats = recency_statistics(daily, reference, sorted(windows), sorted(half_lives))
+    trending = isinstance(config, TrendingViews)
+    span = history_span_hours(daily, reference).scalar() if trending else F.lit(None)
+    return rank_items(stats, config.score(span), positive_only=True)
 
 
 def recommend_unseen(

@@ -104,12 +104,14 @@ def test_popularity_lists_against_brute_force(spark, daily, noon):
 
 def test_recency_configuration_is_checked():
     with pytest.raises(ValueError):
-        popularity.RecencyConfig("decay")
+        popularity.DecayedViews(0.0)
     with pytest.raises(ValueError):
-        popularity.RecencyConfig("window", half_life_hours=3)
+        popularity.WindowViews(hours=float("inf"))
     with pytest.raises(ValueError):
-        popularity.RecencyConfig("trending", short_window_hours=5, long_window_hours=5, smoothing=1)
-    assert popularity.RecencyConfig("window").windows() == set()
+        popularity.BlendedViews({})
+    with pytest.raises(ValueError):
+        popularity.TrendingViews(short=5, long=5, smoothing=1)
+    assert popularity.WindowViews().grid() == (set(), set())
 
 
 def brute_pairs(data, config):
