@@ -24,6 +24,7 @@ from morrow.operators import (
     union,
 )
 from morrow.schemas import PAIR_KEYS
+from morrow.sources import tables
 
 DAILY = "user_id, item_id, date, dt, views, watch_time, is_like, is_favorite, is_positive"
 GPOP, RPOP, ITWO, ALS = "global_popularity", "recency_popularity", "item2item", "implicit_als"
@@ -312,6 +313,13 @@ def _(w: World):
     return features.user_features(w.history, w.cutoff)
 
 
+@check("S16_feature_lookup_artifact", _entity_sql("user_id", "item_id", False))
+def _(w: World):
+    folder = w.folder("lookups")
+    tables.write_tables(folder, **w.lookups)
+    return tables.read_tables(w.spark, folder, *w.lookups)["user_features"]
+
+
 @check("A11_item_features", _entity_sql("item_id", "user_id", True))
 def _(w: World):
     return features.item_features(w.history, w.cutoff)

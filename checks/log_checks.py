@@ -169,13 +169,6 @@ def _(w: World):
     return text.column_description(w.spark, names)
 
 
-@check("S16_feature_lookup_artifact")
-def _(w: World):
-    folder = w.folder("lookups")
-    tables.write_tables(folder, **w.lookups)
-    return tables.read_tables(w.spark, folder, *w.lookups)["user_features"]
-
-
 @check(
     "S17_fitted_state_restore",
     f"SELECT user_id, item_id, {r('score')}, rank, source FROM gpop",
