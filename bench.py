@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from checks.fixtures import (
     CAPS,
+    CONFIDENCE,
     COVISIT,
     FOLD,
     FUSION,
@@ -29,6 +30,7 @@ from checks.fixtures import (
 from morrow.operators import covisit, factors, features, interactions, metrics, popularity
 from morrow.operators import profiles, sampling, sequences, union
 from morrow.plans import candidates, rows
+from morrow.schemas import PAIR_KEYS
 from morrow.session import local_session
 
 QUERIES: dict[str, Callable[[World], DataFrame]] = {
@@ -63,6 +65,12 @@ QUERIES: dict[str, Callable[[World], DataFrame]] = {
         sampling.assign_labels(w.union, w.labels), FOLD, SAMPLING
     ),
     "candidate_metrics": lambda w: metrics.candidate_metrics(w.union, w.labels, w.targets),
+    "als_fit": lambda w: factors.fit_als(
+        factors.collapse_with_confidence(w.history, w.cutoff, CONFIDENCE), rank=8, iterations=3
+    ).user_factors,
+    "profile_features": lambda w: profiles.profile_features(
+        w.union.select(*PAIR_KEYS), w.profiles, w.item_factors
+    ),
     "precision_at_20": lambda w: metrics.precision_at_20(w.fused_lists, w.labels, w.targets),
 }
 
@@ -75,7 +83,7 @@ def prepare(world: World) -> None:
     """Build every stored stage, which also warms the session up."""
     for name in (
         "history", "validation", "targets", "seen", "labels", "global_ranking", "recency_ranking",
-        "neighbors", "predicted", "union", "scored", "lookups", "fused_lists",
+        "neighbors", "predicted", "union", "scored", "lookups", "fused_lists", "profiles",
     ):
         getattr(world, name)
 
