@@ -127,6 +127,28 @@ def _(w: World):
     return same_rows(text.parse_recommendations(_csv(w)), w.fused_lists.select("user_id", "item_ids"))
 
 
+# Ids of the upper half of the unsigned range, through a popular list, a file and back.
+_UPPER = "9223372036854775808"
+
+
+@check(
+    "S12_unsigned_ids",
+    f"""SELECT CAST(CAST(user_id AS HUGEINT) + {_UPPER} AS VARCHAR) AS user_id, item_ids
+    FROM ({as_lists("gpop", "rank")})""",
+)
+def _(w: World):
+    upper = lambda df: df.withColumn(
+        "user_id", (F.col("user_id").cast("decimal(20,0)") + F.lit(_UPPER).cast("decimal(20,0)")).cast("decimal(20,0)")
+    )
+    top = popularity.recommend_unseen(
+        w.global_ranking, upper(w.seen), upper(w.targets), fixtures.CAPS["global_popularity"], "global_popularity"
+    )
+    path = w.folder("unsigned")
+    text.write_recommendations(popularity.candidates_to_lists(top), path)
+    back = text.parse_recommendations(text.read_recommendation_text(w.spark, path))
+    return back.withColumn("user_id", F.col("user_id").cast("string"))
+
+
 _SINK_FEATURES = ["source_count", "generator_rank_norm_item2item"]
 
 
