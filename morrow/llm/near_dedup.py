@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from morrow.llm.support import body, documents_like, shared_path, stored
@@ -106,7 +106,37 @@ def registers(hashes: np.ndarray, buckets: int, order: np.ndarray) -> np.ndarray
     return found
 
 
-SKETCH = "node long, doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>, registers binary"
+SKETCH = (
+    "node long, doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>,"
+    " registers binary, digest array<long>"
+)
+_EVEN_BITS = 0x5555555555555555
+
+
+def low_bits(regs: np.ndarray) -> np.ndarray:
+    """Two bits of each register, 32 registers in a word."""
+    two = np.zeros(-(-len(regs) // 32) * 32, dtype=np.uint64)
+    two[: len(regs)] = regs & np.uint16(3)
+    shifts = (np.arange(len(two), dtype=np.uint64) % np.uint64(32)) * np.uint64(2)
+    return np.bitwise_or.reduce((two << shifts).reshape(-1, 32), axis=1).astype(np.int64)
+
+
+def similar_digests(a: Column, b: Column, a_size: Column, b_size: Column, n: int, similarity: float) -> Column:
+    """Whether two digests leave room for the similarity, as a join condition.
+
+    Registers of different hashes agree in two bits by chance in a quarter of all cases; the
+    share of equal registers is held against what the similarity would give, with a margin
+    of five standard deviations for the number of registers that the smaller set fills.
+    """
+    unequal = F.lit(0)
+    for word in range(-(-n // 32)):
+        differ = F.get(a, F.lit(word)).bitwiseXOR(F.get(b, F.lit(word)))
+        folded = differ.bitwiseOR(F.shiftrightunsigned(differ, 1)).bitwiseAND(F.lit(_EVEN_BITS))
+        unequal = unequal + F.bit_count(folded)
+    expected = similarity + (1 - similarity) / 4
+    filled = n * (1 - F.exp(-F.least(a_size, b_size) / n))
+    margin = 5 * F.sqrt(F.lit(expected * (1 - expected)) / filled)
+    return 1 - unequal / n >= F.lit(expected) - margin
 
 
 def sketches(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -117,7 +147,7 @@ def sketches(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS)
         hasher = ShingleHasher(width)
         step = np.arange(bands, dtype=np.uint64) << np.uint64(32)
         for batch in batches:
-            sizes, keys, band_keys, found = [], [], [], []
+            sizes, keys, band_keys, found, digests = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = hasher(text)
                 sizes.append(len(hashes))
@@ -128,6 +158,7 @@ def sketches(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS)
                     key = mixed(key + column.astype(np.uint64) + np.uint64(1))
                 band_keys.append(key.astype(np.int64) if len(hashes) else np.empty(0, np.int64))
                 found.append(regs.tobytes())
+                digests.append(low_bits(regs))
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(n) for n in ("node", "doc_id", "text_key")),
@@ -135,8 +166,9 @@ def sketches(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS)
                     pa.array(keys, pa.binary()),
                     pa.array(band_keys, pa.list_(pa.int64())),
                     pa.array(found, pa.binary()),
+                    pa.array(digests, pa.list_(pa.int64())),
                 ],
-                names=["node", "doc_id", "text_key", "n_shingles", "set_key", "bands", "registers"],
+                names=["node", "doc_id", "text_key", "n_shingles", "set_key", "bands", "registers", "digest"],
             )
 
     numbered = docs.select(
@@ -245,6 +277,9 @@ def near_components(
     all members of a bucket that are not yet in the same component meet: no link between
     different components is left untested, and pairs inside a component are never formed.
 
+    Two bits of each register are compared inside the join, so pairs that are far from the
+    similarity are not formed; the full registers and then the full sets decide the rest.
+
     A link is found if the documents share one of the bands; at similarity 0.8 with 50
     bands of 5 registers all are missed with a probability below 1e-8.
 
@@ -262,23 +297,30 @@ def near_components(
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     buckets = stored(rows.join(shared, "key", "left_semi"), "buckets")
     met = buckets.select("node").distinct()
-    regs = stored(reps.join(met, "node", "left_semi").select("node", "doc_id", "text_key", "n_shingles", "registers"), "registers")
+    regs = stored(reps.join(met, "node", "left_semi").select("node", "doc_id", "text_key", "n_shingles", "registers", "digest"), "registers")
     texts = _texts_of(docs, sketch, regs)
-    labels = stored(regs.select("node", F.col("node").alias("root")), "labels")
+    labels = stored(regs.select("node", "digest", F.col("node").alias("root")), "labels")
     for step in range(stars + 1):
         now = buckets.join(labels, "node")
         mixed_keys = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
         now = now.join(mixed_keys, "key", "left_semi")
         if step < stars:
-            first = F.struct((F.xxhash64("node", F.lit(step)) if step else F.col("node")).alias("turn"), "node", "n_shingles", "root")
-            other = now.groupBy("key").agg(F.min(first).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.n_shingles").alias("a_n"), F.col("p.root").alias("a_root"))
+            turn = F.xxhash64("node", F.lit(step)) if step else F.col("node")
+            first = F.struct(turn.alias("turn"), "node", "n_shingles", "root", "digest")
+            other = now.groupBy("key").agg(F.min(first).alias("p")).select("key", "p.*")
             apart = F.col("a_root") != F.col("b_root")
         else:
-            other = now.select("key", F.col("node").alias("a"), F.col("n_shingles").alias("a_n"), F.col("root").alias("a_root"))
-            apart = (F.col("a_root") < F.col("b_root"))
-        member = now.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("b_n"), F.col("root").alias("b_root"))
-        sizes = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
-        pairs = other.join(member, (other["key"] == member["key"]) & apart & sizes).select("a", "b").distinct()
+            other = now
+            apart = F.col("a_root") < F.col("b_root")
+        sides = [
+            df.select("key", F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n_shingles", "root", "digest")])
+            for s, df in (("a", other), ("b", now))
+        ]
+        sizes = [F.col(f"{s}_n_shingles") for s in "ab"]
+        close = F.least(*sizes) * 100 >= F.greatest(*sizes) * percent
+        alike = similar_digests(F.col("a_digest"), F.col("b_digest"), *sizes, BANDS * ROWS, percent / 100)
+        pairs = sides[0].join(sides[1], (sides[0]["key"] == sides[1]["key"]) & apart & close & alike)
+        pairs = pairs.select("a", "b").distinct()
         likely = stored(estimated(pairs, regs, percent / 100), "likely")
         links = stored(verified(likely, texts, width, percent), "verified")
         if links.isEmpty():
@@ -288,7 +330,7 @@ def near_components(
         moved = components(ends.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
         moved = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
         labels = stored(
-            labels.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels"
+            labels.join(moved, "root", "left").select("node", "digest", F.coalesce("to", "root").alias("root")), "labels"
         )
     whole = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select(
         "set_key", F.coalesce("root", "class").alias("component")
