@@ -14,6 +14,7 @@ The model is fitted on at most ``max_rows`` labelled rows, half of each class wh
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +34,7 @@ _DIM, _FILTERS, _WIDTHS = _PARTS * _EACH, 8, (1, 2, 3)
 _PAD = max(_WIDTHS) - 1
 _TRIM = ".,*#$%&|;:!?()[]\"'"
 _CACHE = 300_000
-_GROUP_CHARS = 4 << 20
+_GROUP_CHARS = 2 << 20
 
 # Common function words of four languages.
 FUNCTION_WORDS = {
@@ -63,17 +64,21 @@ class Words:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.buckets: list[tuple[int, ...]] = [(0,) * _PARTS]
-        self.langs: list[int] = [0]
+        self.buckets = array("i", [0] * _PARTS)
+        self.langs = array("b", [0])
 
     def learn(self, tokens: set[str]) -> None:
         for token in tokens:
             if token not in self.index:
                 word = token.strip(_TRIM)
-                self.index[token] = len(self.buckets)
-                self.buckets.append(word_buckets(word))
+                self.index[token] = len(self.langs)
+                self.buckets.extend(word_buckets(word))
                 self.langs.append(self.spoken.get(word, 0))
 
+    def table(self) -> np.ndarray:
+        """The buckets of each word, in the order of their numbers."""
+        return np.array(self.buckets, dtype=np.int64).reshape(-1, _PARTS)
+
     def line_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts in a row, ``_PAD`` zeros after each; where each begins."""
         split = [text.lower().split() for text in texts]
@@ -86,6 +91,16 @@ class Words:
         return line, ends - counts + _PAD * np.arange(len(split))
 
 
+def grouped(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in groups of about ``_GROUP_CHARS``, so that few words are held at a time."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= _GROUP_CHARS or i + 1 == len(texts):
+            yield texts[start : i + 1]
+            start, size = i + 1, 0
+
+
 @dataclass
 class Model:
     embeddings: np.ndarray  # bucket x part of dim
@@ -96,7 +111,7 @@ class Model:
     thresholds: np.ndarray  # per language, the last for an unknown one
 
     def vectors(self, words: Words) -> np.ndarray:
-        found = self.embeddings[np.array(words.buckets, dtype=np.int64)].reshape(-1, _DIM)
+        found = self.embeddings[words.table()].reshape(-1, _DIM)
         found[0] = 0.0
         return found
 
@@ -131,7 +146,7 @@ class Model:
 def _log_ratios(words: Words, lines: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Per bucket, the smoothed log-ratio of the shares of toxic and clean texts that hold it."""
     counts = np.zeros((2, _BUCKETS))
-    buckets = np.array(words.buckets, dtype=np.int64)
+    buckets = words.table()
     for line, label in zip(lines, labels, strict=True):
         if len(line):
             counts[label, np.unique(buckets[line])] += 1
@@ -155,7 +170,7 @@ def fit_filters(
     for k in range(len(_WIDTHS)):
         weights[k * _FILTERS : k * _FILTERS + _PARTS] = 0.5
     shift, bias = np.zeros(n), -1.0
-    buckets = np.array(words.buckets, dtype=np.int64)
+    buckets = words.table()
     share = np.array([max(1, np.sum(labels == c)) for c in (0, 1)]) / len(labels)
     sums = {"e": np.full((_BUCKETS, 1), 1e-2), "t": [np.full(x.shape, 1e-2) for x in taps], "w": np.full(n, 1e-2), "s": np.full(n, 1e-2), "b": 1e-2}
     rate = 0.05
@@ -167,7 +182,7 @@ def fit_filters(
             grad_w, grad_s, grad_b = np.zeros(n), np.zeros(n), 0.0
             places, moves = [], []
             for i in some:
-                line = np.concatenate([lines[i], np.zeros(_PAD, dtype=np.int64)])
+                line = np.concatenate([lines[i], np.zeros(_PAD, dtype=np.int32)])
                 x = embeddings[buckets[line]].reshape(-1, _DIM)
                 x[line == 0] = 0.0
                 hidden, where = np.empty(n), []
@@ -230,10 +245,11 @@ def fit(texts: list[str], labels: np.ndarray, calibrates: np.ndarray) -> Model:
     Without both classes the score is constant: 0 below the cut, whatever the text.
     """
     labels = np.asarray(labels, dtype=np.int64)
-    words = Words()
-    line, begins = words.line_up(texts)
-    ends = np.append(begins[1:], len(line)) - _PAD if len(begins) else begins
-    lines = [line[a:b] for a, b in zip(begins, ends, strict=True)]
+    words, lines = Words(), []
+    for group in grouped(texts):
+        line, begins = words.line_up(group)
+        ends = np.append(begins[1:], len(line)) - _PAD
+        lines += [line[a:b].astype(np.int32) for a, b in zip(begins, ends, strict=True)]
     train = ~calibrates
     if len(set(labels[train].tolist())) < 2:
         train = np.ones(len(labels), dtype=bool)
@@ -245,7 +261,8 @@ def fit(texts: list[str], labels: np.ndarray, calibrates: np.ndarray) -> Model:
         )
     model = fit_filters(words, [x for x, t in zip(lines, train, strict=True) if t], labels[train])
     chosen = calibrates if len(set(labels[calibrates].tolist())) == 2 else np.ones(len(labels), dtype=bool)
-    logits, langs = model.logits(words, [t for t, c in zip(texts, chosen, strict=True) if c])
+    found = [model.logits(words, g) for g in grouped([t for t, c in zip(texts, chosen, strict=True) if c])]
+    logits, langs = (np.concatenate(part) for part in zip(*found, strict=True))
     truth = labels[chosen]
     model.thresholds[:] = best_threshold(logits, truth)
     for lang in range(len(LANGUAGES)):
@@ -301,14 +318,11 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -
         words = Words()
         for batch in batches:
             texts = batch.column("body").to_pylist()
-            found, start, size = [], 0, 0
-            for i, text in enumerate(texts):
-                size += len(text)
-                if size >= _GROUP_CHARS or i + 1 == len(texts):
-                    found.append(shared.value.scores(words, texts[start : i + 1]))
-                    start, size = i + 1, 0
-                    if len(words.index) > _CACHE:
-                        words.forget()
+            found = []
+            for group in grouped(texts):
+                found.append(shared.value.scores(words, group))
+                if len(words.index) > _CACHE:
+                    words.forget()
             value = np.concatenate(found) if found else np.empty(0)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in names), pa.array(value, pa.float64())], names=[*names, "score"]
