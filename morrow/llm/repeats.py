@@ -42,7 +42,7 @@ from morrow.llm.support import body, shared_path, stored
 
 _SEED = 56
 _SHARD_BYTES = 1 << 20
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 _RANGE_BYTES = 32 << 20
 _LEAST_RANGES = 64
 _FACTOR = 0x9E3779B97F4A7C15 | 1
