@@ -125,7 +125,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = 3) -> DataFrame:
     of_row = runs.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("runs"))
     none = F.array().cast("array<struct<start:int,stop:int>>")
     lines = F.split("text", "\n", -1)
-    joined = texts.join(of_row, "node", "left").withColumn("runs", F.coalesce("runs", none))
+    # Both sides grow with the corpus: the same join at every size.
+    joined = texts.join(of_row.hint("merge"), "node", "left").withColumn("runs", F.coalesce("runs", none))
     removed = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["stop"] - r["start"])
     return joined.select(
         "doc_id",
