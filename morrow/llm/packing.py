@@ -10,6 +10,7 @@ and the plan says which place belongs to that rank.  Token ids are read once.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,22 +25,20 @@ from morrow.llm.support import body, stored
 
 END_ID = 1
 _GROUP_BYTES = 4 << 20
-#: Words and parts that a task remembers; then it starts anew.
-_WORDS, _PARTS = 300_000, 500_000
+#: Words that a worker process remembers; then it starts anew.
+_WORDS = 600_000
 _PER_CALL = 512
 _MARK = "<|endoftext|>"
-_CLOSING = b".,*#$%&|;:!?"
-_STEM_END = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+_BEFORE_CLOSING = re.compile(rb"(?<=[a-z0-9])(?=[.,*#$%&|;:!?])")
 
 
 class WordEncoder:
     """Token ids of texts, with the ids of words seen before kept.
 
-    The tokenizer drops white space and never joins what it separates, so a text's ids are
-    those of its words (runs without ASCII white space) in turn.  It ignores case and never
-    joins an ASCII letter or digit with the punctuation after it, so a word's ids are those
-    of its lower-case stem and of its closing punctuation.  ``encode`` returns all ids of a
-    group of texts, each closed by ``END_ID``, and the number of ids of each text.
+    The tokenizer drops white space, ignores case, and never joins what white space parts or
+    an ASCII letter or digit with the punctuation after it.  So a text's ids are those of
+    its lower-case words and punctuation in turn.  ``encode`` returns all ids of a group of
+    texts, each closed by ``END_ID``, and the number of ids of each text.
     """
 
     def __init__(self, path: str):
@@ -49,7 +48,6 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = False
         self.mark_id = self.tokenizer.token_to_id(_MARK)
-        self.parts: dict[bytes, bytes] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -58,47 +56,39 @@ class WordEncoder:
         self.starts = np.zeros(1, dtype=np.int64)
         self.lengths = np.ones(1, dtype=np.int64)
 
-    def _encode_parts(self, fresh: list[bytes]) -> None:
-        """Ids of stems and punctuation: many in one call, parted by a special token."""
-        plain = [w for w in fresh if b"<|" not in w]
-        for at in range(0, len(plain), _PER_CALL):
-            some = plain[at : at + _PER_CALL]
-            text = _MARK.join(w.decode() for w in some)
+    def _ids(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids and lengths of words: many in one call, parted by a special token."""
+        for at in range(0, len(words), _PER_CALL):
+            text = _MARK.join([w.decode() for w in words[at : at + _PER_CALL]])
             ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
-            starts, raw = [0, *(e + 1 for e in ends[:-1])], ids.tobytes()
-            self.parts.update(
-                (word, raw[4 * a : 4 * b]) for word, a, b in zip(some, starts, ends, strict=True)
-            )
-        for word in fresh:
-            if b"<|" in word:
-                ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-                self.parts[word] = np.array(ids, dtype="<u4").tobytes()
+            marks = np.flatnonzero(ids == self.mark_id)
+            yield np.delete(ids, marks), np.diff(marks, prepend=-1, append=len(ids)) - 1
 
     def _learn(self, words: list[bytes]) -> None:
         if len(self.index) > _WORDS:
             self._forget()
-        if len(self.parts) > _PARTS:
-            self.parts = {}
         fresh = [w for w in set(words) if w not in self.index]
         if not fresh:
             return
-        cut = []
+        plain = [w for w in fresh if b"<|" not in w]
+        parts = list(self._ids(plain))
         for word in fresh:
-            # A special token is looked for before case is dropped.
-            low = word if b"<|" in word else word.lower()
-            stem = low.rstrip(_CLOSING)
-            cut.append((stem, low[len(stem) :]) if stem and stem[-1] in _STEM_END else (low, b""))
-        self._encode_parts([p for p in {p for each in cut for p in each} if p not in self.parts])
-        ids = [self.parts[a] + self.parts[b] for a, b in cut]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        self.index.update(zip(fresh, range(len(self.lengths), len(self.lengths) + len(fresh)), strict=True))
+            if b"<|" in word:
+                plain.append(word)
+                ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+                parts.append((np.array(ids, dtype="<u4"), np.array([len(ids)])))
+        lengths = np.concatenate([p[1] for p in parts])
+        self.index.update(zip(plain, range(len(self.lengths), len(self.lengths) + len(plain)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
+        self.pool = np.concatenate([self.pool, *(p[0] for p in parts)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        split = [t.encode(errors="replace").split() for t in texts]
+        split = []
+        for text in texts:
+            raw = text.encode(errors="replace")
+            # A special token is looked for before case is dropped.
+            split.append((raw if b"<|" in raw else _BEFORE_CLOSING.sub(b" ", raw.lower())).split())
         words = [w for each in split for w in each]
         self._learn(words)
         known = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
@@ -112,6 +102,16 @@ class WordEncoder:
         return ids, np.diff(bounds)
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def shared_encoder(path: str) -> WordEncoder:
+    """The encoder of this worker process, which runs task after task."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def grouped_texts(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``_GROUP_BYTES`` each."""
     start, size = 0, 0
@@ -135,7 +135,7 @@ def token_pieces(
     """Pieces of at most ``capacity`` ids; ``place`` counts a task's pieces of each length."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = shared_encoder(tokenizer_path)
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
