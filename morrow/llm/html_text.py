@@ -3,8 +3,10 @@
 Markup is stripped into lines, one per block of the page.  Lines of parts that no article
 holds (menus, headers, footers, sidebars, notices, adverts, forms, reader comments, lists of
 links) weigh nothing.  Text lengths are summed over sliding windows of lines; text starts
-where the sum surges and ends where it dives to nothing, and all lines in between that weigh
-something are kept.  Each page is handled by itself in one task.
+where the sum first surges, by the measure of the page's largest window, and ends where it
+dives to nothing for good; all lines in between that weigh something are kept.  Where an
+article or main element holds text, any text in it is a surge: only tags and classes decide.
+Each page is handled by itself in one task.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-#: Characters that a window must hold for a surge; inside an article element any text does.
-SURGE = 80
+#: Characters that a window must hold for a surge, or the part of the page's largest window where
+#: that is less; inside an article element any text does.
+SURGE, SURGE_PART = 80, 0.25
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[a-zA-Z/!?][^>]*(?:>|\Z)",
@@ -147,26 +150,22 @@ def main_text(page: str) -> str:
     lines = page_lines(page)
     marked = any(weighs and inside for _, weighs, inside in lines)
     weight = [len(text) if weighs and (inside or not marked) else 0 for text, weighs, inside in lines]
-    surge = 1 if marked else SURGE
     total = sum(weight[:WINDOW])
     sums = []
     for i in range(len(weight)):
         sums.append(total)
         total += (weight[i + WINDOW] if i + WINDOW < len(weight) else 0) - weight[i]
-    kept, i = [], 0
-    while i < len(sums):
-        if sums[i] < surge:
-            i += 1
-            continue
-        dive = i
-        while dive < len(sums) and sums[dive]:
-            dive += 1
-        start = i
-        while not marked and start and weight[start - 1]:
-            start -= 1  # short lines right before the surge belong to it
-        kept.extend(lines[j][0] for j in range(start, dive) if weight[j])
-        i = dive
-    return "\n".join(kept)
+    if marked:
+        surge = 1
+    elif _TAG.search(page):
+        surge = max(1, min(SURGE, SURGE_PART * max(sums, default=0)))
+    else:
+        surge = SURGE  # no markup: not a page
+    start = next((i for i, held in enumerate(sums) if held >= surge), len(sums))
+    while start and start < len(sums) and weight[start - 1]:
+        start -= 1  # short lines right before the surge belong to it
+    # A later dive is an advert or a list of links inside the text: what follows is text again.
+    return "\n".join(line[0] for line, held in zip(lines[start:], weight[start:], strict=True) if held)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from morrow.llm import mixing, near_dedup
+from morrow.llm import html_text, mixing, near_dedup
 
 SF = "/root/testdata/sf0.001"
 CELLS = "source string, lang string, topic string, tokens long"
@@ -55,3 +55,18 @@ def test_short_texts_share_a_band(size):
     for more in rng.integers(0, 1 << 63, (5000, size + 1)).astype(np.uint64):
         one, two = (near_dedup.registers(h, bands * rows, order).reshape(bands, rows) for h in (more[:-1], more))
         assert (one == two).all(axis=1).any()
+
+
+def test_short_pages_without_article_keep_their_text():
+    page = html_text.main_text
+    assert page("<div class=content><p>Short text.</p><p>One more.</p></div>") == "Short text.\nOne more."
+    assert page("<html><body><nav>Menu</nav><p>Hi.</p><footer>no</footer></body></html>") == "Hi."
+    assert page("<html><body><nav>Menu</nav><ul><li><a href=x>Home</a></li></ul></body></html>") == ""
+
+
+def test_short_tails_after_adverts_are_kept():
+    long = ("long text " * 20).strip()
+    for inset in ("<div class=ad><p>a<p>b<p>c<p>d</div>", "<ul>" + "<li><a href=x>link</a></li>" * 4 + "</ul>"):
+        assert html_text.main_text(f"<body><p>{long}</p>{inset}<p>The end.</p></body>") == f"{long}\nThe end."
+        short = f"<body><p>A short start.</p>{inset}<p>The end.</p></body>"
+        assert html_text.main_text(short) == "A short start.\nThe end."
