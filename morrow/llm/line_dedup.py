@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from morrow.llm.mixing import word_count
 from morrow.llm.support import body, stored
 
 
@@ -75,20 +76,40 @@ def first_members(suffixes: DataFrame) -> DataFrame:
     return suffixes.groupBy("rank").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("members"))
 
 
-def deleted_runs(texts: DataFrame, min_lines: int) -> DataFrame:
-    """Maximal runs of deleted lines: ``node, doc_id, start, stop`` (exclusive), from 0."""
-    suffixes = repeated_runs(texts, min_lines)
+def later_members(suffixes: DataFrame) -> DataFrame:
+    """The members of each interval but the first."""
     first = first_members(suffixes).select(
         "rank", F.col("first.node").alias("first_node"), F.col("first.line").alias("first_line")
     )
-    later = suffixes.join(first, "rank").where("not (node = first_node and line = first_line)")
+    return suffixes.join(first, "rank").where("not (node = first_node and line = first_line)")
+
+
+def long_runs(texts: DataFrame, later: DataFrame, depth: int, long_words: int) -> DataFrame:
+    """Those of the runs over ``depth`` lines that hold more than ``long_words`` words."""
+    found = later.groupBy("node").agg(F.collect_list("line").alias("at"))
+    lines = F.split("text", "\n", -1)
+    run = F.array_join(F.slice(lines, F.col("line") + 1, depth), "\n")
+    return (
+        texts.join(found.hint("merge"), "node")
+        .select("doc_id", "node", "text", F.explode("at").alias("line"))
+        .where(word_count(run) > long_words)
+        .select("doc_id", "node", "line")
+    )
+
+
+def deleted_runs(texts: DataFrame, min_lines: int, long_words: int | None = None) -> DataFrame:
+    """Maximal runs of deleted lines: ``node, doc_id, start, stop`` (exclusive), from 0."""
+    covers = later_members(repeated_runs(texts, min_lines)).select("doc_id", "node", "line", (F.col("line") + min_lines).alias("end"))
+    for depth in range(1, min_lines if long_words is not None else 1):
+        later = long_runs(texts, later_members(repeated_runs(texts, depth)), depth, long_words)
+        covers = covers.unionByName(later.withColumn("end", F.col("line") + depth))
     by_line = Window.partitionBy("node").orderBy("line")
-    begins = (F.col("line") - F.lag("line").over(by_line) > min_lines).cast("int")
-    marked = later.select("doc_id", "node", "line").withColumn("begins", F.coalesce(begins, F.lit(1)))
+    reach = F.max("end").over(by_line.rowsBetween(Window.unboundedPreceding, -1))
+    marked = covers.withColumn("begins", F.coalesce((F.col("line") > reach).cast("int"), F.lit(1)))
     return (
         marked.withColumn("run", F.sum("begins").over(by_line))
         .groupBy("node", "run")
-        .agg(F.min("doc_id").alias("doc_id"), F.min("line").alias("start"), (F.max("line") + min_lines).alias("stop"))
+        .agg(F.min("doc_id").alias("doc_id"), F.min("line").alias("start"), F.max("end").alias("stop"))
         .drop("run")
     )
 
@@ -105,9 +126,11 @@ def _without(lines: Column, runs: Column) -> Column:
     return F.flatten(kept)
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = 3, long_words: int | None = None) -> DataFrame:
     """Delete later copies of repeated runs of at least ``min_lines`` lines.
 
+    With ``long_words``, later copies of shorter runs go too if they hold more words than that.
+
     Lines are parted by ``\\n``; a run counts as repeated when the same lines, in the same
     order, also begin at an earlier place: in a document with a smaller doc_id, or
     further up.  Runs are judged on the input, not on what is left.  Returns one row per
@@ -121,7 +144,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = 3) -> DataFrame:
     if min_lines < 1:
         raise ValueError("min_lines must be at least 1")
     texts = numbered_texts(docs)
-    runs = deleted_runs(texts, min_lines)
+    runs = deleted_runs(texts, min_lines, long_words)
     of_row = runs.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("runs"))
     none = F.array().cast("array<struct<start:int,stop:int>>")
     lines = F.split("text", "\n", -1)

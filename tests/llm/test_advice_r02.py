@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from morrow.llm import html_text, mixing, near_dedup
+from morrow.llm import html_text, line_dedup, mixing, near_dedup
 
 SF = "/root/testdata/sf0.001"
 CELLS = "source string, lang string, topic string, tokens long"
@@ -70,3 +70,13 @@ def test_short_tails_after_adverts_are_kept():
         assert html_text.main_text(f"<body><p>{long}</p>{inset}<p>The end.</p></body>") == f"{long}\nThe end."
         short = f"<body><p>A short start.</p>{inset}<p>The end.</p></body>"
         assert html_text.main_text(short) == "A short start.\nThe end."
+
+
+def test_long_runs_of_one_and_two_lines(spark):
+    one = " ".join(f"a{i}" for i in range(51))
+    two = [" ".join(f"{c}{i}" for i in range(26)) for c in "bc"]
+    texts = {1: [one], 2: ["x", one, "y"], 3: [*two, "z"], 4: ["v", *two], 5: ["p", "q"], 6: ["p", "q"], 7: [two[0], "w"], 8: [one]}
+    docs = spark.createDataFrame([(d, "\n".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    rows = {r.doc_id: (r.text, r.n_removed, r.n_runs) for r in line_dedup.dedup_lines(docs, 3, long_words=50).collect()}
+    gone = {2: ("x\ny", 1, 1), 4: ("v", 2, 1), 8: ("", 1, 1)}
+    assert rows == {d: gone.get(d, ("\n".join(t), 0, 0)) for d, t in texts.items()}
