@@ -46,13 +46,19 @@ def parse_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
 
+#: Parts of a token, each with the rank of the merge that takes it up.
+Edge = list[tuple[bytes, int]]
+_NEVER = 1 << 62
+
+
 class Merges:
     """What the merges make of byte strings; the transducer is compiled from it."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.edges: dict[tuple[int, bool], list[tuple[bytes, float]] | None] = {}
+        self.ends: dict[int, Edge | None] = {}
+        self.begins: dict[int, Edge | None] = {}
 
     def merge(self, data: bytes, stop: int = 1) -> list[bytes]:
         """Join the neighbours of the least rank, the leftmost first, down to ``stop`` parts."""
@@ -66,24 +72,22 @@ class Merges:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def edge(self, token: int, right: bool) -> list[tuple[bytes, float]] | None:
-        """The parts at one end of a token, from its last (first) byte to itself.
+    def _edge(self, token: int, known: dict[int, Edge | None], side: int) -> Edge | None:
+        """The parts at one end of a token (side 0: begin, -1: end), from a single byte to itself.
 
         Each comes with the rank of the merge that takes it up; the token itself stays.  None
         if the merges do not lead to the token.
         """
-        key = (token, right)
-        if key not in self.edges:
+        if token not in known:
             whole = self.bytes_of[token]
-            if len(whole) == 1:
-                parts: list[tuple[bytes, float]] | None = []
-            elif self.merge(whole) != [whole]:
+            parts: Edge | None = []
+            if len(whole) > 1:
                 parts = None
-            else:
-                inner = self.merge(whole, stop=2)[-1 if right else 0]
-                parts = [*self.edge(self.ranks[inner], right)[:-1], (inner, token)]
-            self.edges[key] = None if parts is None else [*parts, (whole, float("inf"))]
-        return self.edges[key]
+                if self.merge(whole) == [whole]:
+                    inner = self.merge(whole, stop=2)[side]
+                    parts = [*self._edge(self.ranks[inner], known, side)[:-1], (inner, token)]
+            known[token] = None if parts is None else [*parts, (whole, _NEVER)]
+        return known[token]
 
     def fit(self, left: int, right: int) -> bool:
         """Whether ``right`` can follow ``left`` (-1: the beginning of a piece).
@@ -92,37 +96,33 @@ class Merges:
         tokens.  They must not be joined before one of them is taken up on its own side; of
         equal ranks the leftmost goes first.
         """
-        if left < 0:
-            return self.edge(right, False) is not None
-        ends, begins = self.edge(left, True), self.edge(right, False)
-        if ends is None or begins is None:
-            return False
-        i = j = 0
+        begins = self.begins[right] if right in self.begins else self._edge(right, self.begins, 0)
+        if left < 0 or begins is None:
+            return begins is not None
+        # ``left`` has been emitted, so merges lead to it.
+        ends = self.ends[left] if left in self.ends else self._edge(left, self.ends, -1)
+        rank_of, rest, others = self.ranks.get, iter(ends), iter(begins)
+        (a, a_taken), (b, b_taken) = next(rest), next(others)
         while True:
-            (a, a_taken), (b, b_taken) = ends[i], begins[j]
-            joined = self.ranks.get(a + b)
-            if joined is not None and joined < a_taken and joined <= b_taken:
+            joined = rank_of(a + b, _NEVER)
+            if joined < a_taken and joined <= b_taken:
                 return False
-            if a_taken <= b_taken:
-                if i + 1 == len(ends):
-                    return True
-                i += 1
+            if a_taken > b_taken:
+                b, b_taken = next(others)
+            elif a_taken == _NEVER:
+                return True
             else:
-                j += 1
+                a, a_taken = next(rest)
 
 
 class Transducer:
     """The lazily determinised transducer from bytes to tokens.
 
-    A state is a pair of tuples with an entry per opening: where it is (the token before it and
-    its trie node, in one number) and the tokens due on its way.  State 0 is the beginning of a
-    piece.  ``finish`` gives the tokens that are still due at the end of a piece.  As the merging
-    library does, a piece that is itself a token becomes that token even where merges do not
-    lead to it.
+    A state is three tuples with an entry per opening: the token before it, its trie node, and
+    the tokens due on its way.  State 0 is the beginning of a piece.  As the merging library
+    does, a piece that is itself a token becomes that token even where merges do not lead to it.
     """
 
-    _NODE_BITS = 32
-
     def __init__(self, ranks: dict[bytes, int]):
         self.merges = Merges(ranks)
         self.trie: dict[int, int] = {}
@@ -141,67 +141,72 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        self.states: list[tuple[tuple[int, ...], tuple[tuple[int, ...], ...]]] = []
-        self.number: dict[tuple, int] = {}
+        self.states: list[tuple[tuple, tuple, tuple]] = [((-1,), (0,), ((),))]
+        self.number = {self.states[0]: 0}
         self.next: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.last: dict[int, tuple[int, ...]] = {}
-        self._state((-1 << self._NODE_BITS,), ((),))
-
-    def _state(self, places: tuple[int, ...], dues: tuple[tuple[int, ...], ...]) -> int:
-        key = (places, dues)
-        number = self.number.setdefault(key, len(self.states))
-        if number == len(self.states):
-            self.states.append(key)
-        return number
 
     def _transition(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Make the transition of a state on a byte."""
-        trie, token_at, bits = self.trie, self.token_at, self._NODE_BITS
-        places, dues, ended = [], [], None
-        for place, due in zip(*self.states[state], strict=True):
-            token = place >> bits
-            node = trie.get((place - (token << bits)) << 8 | byte)
+        tokens, nodes, dues, ended = [], [], [], None
+        for token, node, due in zip(*self.states[state], strict=True):
+            node = self.trie.get(node << 8 | byte)
             if node is None:
                 continue
-            whole = token_at.get(node)
+            whole = self.token_at.get(node)
             if whole is not None and ended is None and self.merges.fit(token, whole):
-                ended = whole << bits, (*due, whole)
-            if node in self.inner or (token < 0 and whole is not None):
-                places.append(token << bits | node)
+                ended = whole
+                ended_due = (*due, whole)
+            if node in self.inner:
+                tokens.append(token)
+                nodes.append(node)
                 dues.append(due)
         if ended is None:
             raise ValueError("the ranks have no token for a byte, or are not those of merges")
-        places.append(ended[0])
-        dues.append(ended[1])
+        tokens.append(ended)
+        nodes.append(0)
+        dues.append(ended_due)
         # Tokens on which all openings agree can no longer change.
         first, shared = dues[0], 0
         while shared < len(first) and all(len(due) > shared and due[shared] == first[shared] for due in dues):
             shared += 1
         if shared:
             dues = [due[shared:] for due in dues]
-        found = self.next[state << 8 | byte] = self._state(tuple(places), tuple(dues)), first[:shared]
+        key = tuple(tokens), tuple(nodes), tuple(dues)
+        number = self.number.setdefault(key, len(self.states))
+        if number == len(self.states):
+            self.states.append(key)
+        found = self.next[state << 8 | byte] = number, first[:shared]
         return found
 
-    def finish(self, state: int) -> tuple[int, ...]:
-        """Tokens due at the end of a piece: those before the opening that has no byte yet."""
-        if state not in self.last:
-            places, dues = self.states[state]
-            token = places[0] >> self._NODE_BITS
-            nodes = [place & ((1 << self._NODE_BITS) - 1) for place in places]
-            whole = self.token_at.get(nodes[0]) if token < 0 else None
-            self.last[state] = dues[nodes.index(0)] if whole is None else (*dues[0], whole)
-        return self.last[state]
+    def _last_tokens(self, state: int, byte: int) -> tuple[int, ...]:
+        """The tokens due when the piece ends with this byte; no state is made for its end."""
+        key = state << 8 | byte
+        if key not in self.last:
+            found = None
+            for token, node, due in zip(*self.states[state], strict=True):
+                whole = self.token_at.get(self.trie.get(node << 8 | byte))
+                # The beginning of the piece comes first: the whole piece is a token.
+                if whole is not None and (token < 0 or self.merges.fit(token, whole)):
+                    found = (*due, whole)
+                    break
+            if found is None:
+                raise ValueError("the ranks have no token for a byte, or are not those of merges")
+            self.last[key] = found
+        return self.last[key]
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
-        if len(self.next) > _TRANSITIONS:
+        if len(self.next) + len(self.last) > _TRANSITIONS:
             self._forget()
+        if not piece:
+            return ()
         state, ids, known = 0, [], self.next
-        for byte in piece:
+        for byte in piece[:-1]:
             found = known.get(state << 8 | byte) or self._transition(state, byte)
             state = found[0]
             if found[1]:
                 ids += found[1]
-        return (*ids, *self.finish(state))
+        return (*ids, *self._last_tokens(state, piece[-1]))
 
 
 class Encoder:
@@ -228,6 +233,7 @@ class Encoder:
             if len(known) > _PIECES:
                 known.clear()
             fresh = [piece for piece in set(step) if piece not in known]
+            fresh.sort()
             for piece in fresh:
                 known[piece] = self.transducer.encode_piece(piece.encode())
             yield list(chain.from_iterable(map(known.__getitem__, step)))
