@@ -11,6 +11,7 @@ from checks.registry import check, f32, r, step
 from checks.steps import as_lists, filled, pair_uniform, unseen_top
 from morrow.functions.stages import write_stage
 from morrow.operators import (
+    confidence_als,
     covisit,
     factors,
     features,
@@ -161,6 +162,44 @@ def _(w: World):
     return fitted.item_factors.select("item_id", F.size("features").alias("rank"))
 
 
+@check("I7_confidence_factors")
+def _(w: World):
+    pairs = factors.collapse_with_confidence(w.history, w.cutoff, fixtures.CONFIDENCE)
+    fit = confidence_als.fit_confidence_als(pairs, confidence_als.ConfidenceAlsConfig(rank=8, iterations=2))
+    sides = [
+        table.select(F.lit(side).alias("side"), F.col(key).cast("bigint").alias("entity"), "features")
+        for side, key, table in (("user", "user_id", fit.user_factors), ("item", "item_id", fit.item_factors))
+    ]
+    rounded = F.transform("features", lambda x: F.round(x, 6) + F.lit(0.0))
+    return sides[0].unionByName(sides[1]).select("side", "entity", rounded.alias("features"))
+
+
+# One half step on three components of the given item vectors, solved by Cramer's rule.
+@check(
+    "I7_confidence_half_step",
+    f"""WITH item3 AS (SELECT item_id, v[1] AS a, v[2] AS b, v[3] AS c FROM ifac),
+    whole AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * b) AS bb, sum(b * c) AS bc, sum(c * c) AS cc FROM item3),
+    own AS (
+      SELECT user_id, sum((w - 1) * a * a) AS aa, sum((w - 1) * a * b) AS ab, sum((w - 1) * a * c) AS ac,
+        sum((w - 1) * b * b) AS bb, sum((w - 1) * b * c) AS bc, sum((w - 1) * c * c) AS cc,
+        sum(w * a) AS x, sum(w * b) AS y, sum(w * c) AS z
+      FROM (SELECT user_id, item_id, CAST(confidence AS DOUBLE) AS w FROM confident) JOIN item3 USING (item_id) GROUP BY user_id),
+    m AS (
+      SELECT user_id, own.aa + whole.aa + 0.1 AS p, own.ab + whole.ab AS q, own.ac + whole.ac AS r,
+        own.bb + whole.bb + 0.1 AS s, own.bc + whole.bc AS t, own.cc + whole.cc + 0.1 AS u, x, y, z FROM own, whole),
+    d AS (SELECT *, p * (s * u - t * t) - q * (q * u - t * r) + r * (q * t - s * r) AS det FROM m)
+    SELECT user_id, {r('(x * (s * u - t * t) - q * (y * u - t * z) + r * (y * t - s * z)) / det', 'x1')},
+      {r('(p * (y * u - t * z) - x * (q * u - t * r) + r * (q * z - y * r)) / det', 'x2')},
+      {r('(p * (s * z - y * t) - q * (q * z - y * r) + x * (q * t - s * r)) / det', 'x3')} FROM d""",
+)
+def _(w: World):
+    pairs = factors.collapse_with_confidence(w.history, w.cutoff, fixtures.CONFIDENCE)
+    three = w.item_factors.select("item_id", F.slice("features", 1, 3).cast("array<double>").alias("features"))
+    config = confidence_als.ConfidenceAlsConfig(rank=3, regularization=0.1, steps=6, block_rows=64)
+    found = confidence_als.half_step(pairs, "user_id", "item_id", three, config)
+    return found.select("user_id", *(F.get("features", F.lit(i)).alias(f"x{i + 1}") for i in range(3)))
+
+
 @check("I8_implicit_als_predict")
 def _(w: World):
     fitted = _als(w)

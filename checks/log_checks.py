@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import fixtures
 from checks.fixtures import COVISIT, SEED, World
-from checks.registry import check, f32, r
+from checks.registry import check, f32, r, step
 from checks.steps import STRATUM, as_lists, is_active, pair_uniform
 from morrow.functions import expressions as x
 from morrow.functions.joins import attach_row
@@ -418,6 +418,9 @@ _CONFIDENCE_SQL = """1 + (1.0 + 0.5 * ln(1.0 + greatest(views - 1.0, 0)) + CAST(
   * exp(-ln(2.0) * (date_diff('microsecond', last_dt, cutoff) / 3600000000.0) / 72.0)"""
 
 
+step("confident", f"SELECT user_id, item_id, CAST({_CONFIDENCE_SQL} AS FLOAT) AS confidence FROM coll, cut")
+
+
 @check(
     "P15_implicit_confidence",
     f"SELECT user_id, item_id, views, {f32(_CONFIDENCE_SQL, 'confidence')} FROM coll, cut",
