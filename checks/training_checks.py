@@ -8,7 +8,7 @@ from checks import fixtures
 from checks.fixtures import FOLD, MODEL_FEATURES, SEED, World
 from checks.registry import check, f32, r, step
 from checks.steps import STRATUM, id_hash, is_active, pair_uniform
-from morrow.operators import rankers, sampling, union
+from morrow.operators import listwise, rankers, sampling, union
 from morrow.schemas import PAIR_KEYS
 
 
@@ -48,8 +48,8 @@ step(
 )
 step(
     "budget",
-    """SELECT fold, CAST(floor(2000 / 3) AS BIGINT) + CAST(position < 2000 % 3 AS INT) AS allocated,
-    (SELECT count(*) FROM stratified) AS n, (SELECT CAST(sum(label) AS BIGINT) FROM stratified) AS p FROM foldnames""",
+    """SELECT fold, CAST(goal // 3 AS BIGINT) + CAST(position < goal % 3 AS INT) AS allocated, n, p
+    FROM foldnames, (SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS p, CAST(3 * ((count(*) + sum(label)) // 2) AS BIGINT) AS goal FROM stratified)""",
 )
 
 
@@ -61,6 +61,12 @@ def _folds(w: World):
     return sampling.stratum_counts(w.labeled_union).withColumn("fold", F.explode(names))
 
 
+def _goal(w: World) -> int:
+    """A budget that fits at every scale: all positives and half of the negatives."""
+    totals = sampling.fold_totals(_folds(w))
+    return totals.agg(F.sum(F.floor((F.col("rows") + F.col("positives")) / 2))).first()[0]
+
+
 @check(
     "R4_sampling_plan",
     f"""SELECT s.fold, sampling_stratum, rows AS source_rows, allocated AS target_rows, {r('f', 'first_stage_probability')},
@@ -70,7 +76,7 @@ def _folds(w: World):
       FROM stratarows s JOIN budget USING (fold)) s""",
 )
 def _(w: World):
-    return sampling.sampling_plan(_folds(w), 2000, FOLDS)
+    return sampling.sampling_plan(_folds(w), _goal(w), FOLDS)
 
 
 @check(
@@ -79,7 +85,7 @@ def _(w: World):
     {r('least(1.0, (allocated - p) / CAST(n - p AS DOUBLE))', 'secondary_negative_probability')} FROM budget""",
 )
 def _(w: World):
-    return sampling.allocate_probabilities(sampling.fold_totals(_folds(w)), 2000, FOLDS)
+    return sampling.allocate_probabilities(sampling.fold_totals(_folds(w)), _goal(w), FOLDS)
 
 
 def _short(target: int, reason: str) -> str:
@@ -216,6 +222,60 @@ def _(w: World):
     return rankers.evaluate_scores(w.dataset.select(*PAIR_KEYS, score), w.labels, w.targets)
 
 
+LISTWISE_BORDERS = {
+    "source_count": [2.0, 3.0, 4.0],
+    "cross_score_item2item": [0.05, 0.1, 0.2, 0.4, 0.8],
+    "cross_score_implicit_als": [-4.0, -2.0, 0.0, 2.0, 4.0],
+}
+
+
+def _listwise_rows(w: World):
+    names = list(LISTWISE_BORDERS)
+    return w.dataset.join(w.groups, "user_id").select("group_id", "label", *names)
+
+
+def _bin_sql(name: str) -> str:
+    return "+".join(f"CAST({name} >= {edge} AS INT)" for edge in LISTWISE_BORDERS[name])
+
+
+@check(
+    "R16_listwise_root_gains",
+    f"""WITH wide AS (
+      SELECT group_id, lab.label, [{', '.join(_bin_sql(n) for n in LISTWISE_BORDERS)}] AS bins
+      FROM lab JOIN (SELECT user_id, item_id, cross_score_item2item, cross_score_implicit_als FROM scored) USING (user_id, item_id)
+      JOIN grp USING (user_id)),
+    sloped AS (
+      SELECT bins, 1.0::DOUBLE / count(*) OVER g AS p, label / sum(label) OVER g AS y, sum(label) OVER g AS hits
+      FROM wide WINDOW g AS (PARTITION BY group_id)),
+    cells AS (
+      SELECT f - 1 AS feature, bins[f] AS bin, count(*) AS n, sum(p - y) AS a, sum(p * (1 - p)) AS b
+      FROM (SELECT *, unnest([1, 2, 3]) AS f FROM sloped WHERE hits > 0) GROUP BY ALL),
+    sides AS (
+      SELECT feature, bin, sum(n) OVER f AS n, sum(a) OVER f AS a, sum(b) OVER f AS b,
+             sum(n) OVER l AS ln, sum(a) OVER l AS la, sum(b) OVER l AS lb
+      FROM cells WINDOW f AS (PARTITION BY feature),
+        l AS (PARTITION BY feature ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    gained AS (
+      SELECT *, round(la * la / (lb + 1) + (a - la) * (a - la) / (b - lb + 1) - a * a / (b + 1), 9) AS gain FROM sides WHERE ln > 0)
+    SELECT CAST(feature AS INT) AS feature, CAST(bin AS INT) AS bin, CAST(n AS BIGINT) AS rows, CAST(ln AS BIGINT) AS left_rows,
+      {r('gain')}, row_number() OVER (ORDER BY gain DESC, feature, bin) = 1 AS chosen FROM gained""",
+)
+def _(w: World):
+    groups = listwise.pack_groups(_listwise_rows(w), LISTWISE_BORDERS)
+    gains = listwise.split_gains(listwise.histogram(groups, [], listwise.Tree(), 0, (3, 6)), 1.0)
+    best = listwise.best_splits(gains, float("-inf")).select("feature", "bin", F.lit(True).alias("chosen"))
+    marked = gains.join(best, ["feature", "bin"], "left")
+    return marked.select("feature", "bin", "rows", "left_rows", "gain", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+
+@check("R16_listwise_ranker")
+def _(w: World):
+    config = listwise.ListwiseConfig(trees=4, depth=3, step=0.3)
+    model = listwise.fit_listwise_trees(_listwise_rows(w), LISTWISE_BORDERS, config)
+    scores = w.dataset.select(*PAIR_KEYS, model.score().alias("ranker_score"))
+    return rankers.evaluate_scores(scores, w.labels, w.targets)
+
+
 @check(
     "R17_scores_to_candidates",
     f"SELECT user_id, item_id, {r('score')}, rank, source FROM mixed_top",
