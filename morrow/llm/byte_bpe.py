@@ -14,9 +14,11 @@ common words cost one table lookup per byte, and a piece of any length takes lin
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+import struct
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from morrow.llm.support import body
 
 #: Transitions and remembered pieces of a worker process; beyond them the table is begun anew.
-_TRANSITIONS = 500_000
-_PIECES = 200_000
+_TRANSITIONS = 650_000
+_PIECES = 500_000
 #: Longer pieces go through the transducer each time.
 _REMEMBERED_LENGTH = 40
 #: Pieces that are read at a time, and bytes of the texts of one output batch.
@@ -215,7 +217,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _steps(self, text: str) -> Iterator[list[str]]:
         """The matches of the pattern, a bounded number at a time."""
@@ -226,21 +228,29 @@ class Encoder:
         while step := [match[0] for match in islice(matches, _PIECES_PER_STEP)]:
             yield step
 
-    def encode(self, text: str) -> Iterator[list[int]]:
-        """Ids of one text, in steps of a bounded number of pieces."""
+    def encode_steps(self, text: str) -> Iterator[bytes]:
+        """Ids of one text as little-endian 32-bit numbers, in steps of a bounded number of pieces."""
         known = self.pieces
         for step in self._steps(text):
             if len(known) > _PIECES:
                 known.clear()
-            fresh = [piece for piece in set(step) if piece not in known]
-            fresh.sort()
+            fresh = sorted(set(step).difference(known))
             for piece in fresh:
-                known[piece] = self.transducer.encode_piece(piece.encode())
-            yield list(chain.from_iterable(map(known.__getitem__, step)))
+                ids = self.transducer.encode_piece(piece.encode())
+                known[piece] = struct.pack(f"<{len(ids)}I", *ids)
+            yield b"".join(map(known.__getitem__, step))
             for piece in fresh:
                 if len(piece) > _REMEMBERED_LENGTH:
                     del known[piece]
 
+    def encode(self, text: str) -> list[int]:
+        return ids_of(b"".join(self.encode_steps(text)))
+
+
+def ids_of(raw: bytes) -> list[int]:
+    """Ids from their little-endian 32-bit numbers."""
+    return np.frombuffer(raw, "<u4").tolist()
+
 
 #: The length of a UTF-8 sequence by its first byte (0: no sequence begins so), and the range
 #: of its second byte where it is narrower than 0x80 to 0xBF. Fixed values of the encoding.
@@ -259,6 +269,7 @@ class StreamDecoder:
     def __init__(self, bytes_of: dict[int, bytes]):
         self.bytes_of = bytes_of
         self.steps: dict[bytes, dict[int, tuple[bytes, str]]] = {b"": {}}
+        self.whole: dict[int, str] = {}
         self.state = b""
 
     @staticmethod
@@ -286,10 +297,17 @@ class StreamDecoder:
             text += more
         self.steps.setdefault(state, {})
         self.steps[begun][token] = state, text
+        if not begun and not state:
+            self.whole[token] = text
         return state, text
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """The text that these further ids complete."""
+        if not self.state:
+            # Most tokens begin and end between characters and leave the state as it is.
+            texts = list(map(self.whole.get, ids))
+            if None not in texts:
+                return "".join(texts)
         steps, state, parts = self.steps, self.state, []
         for token in ids:
             found = steps[state].get(token) or self._step(state, token)
@@ -347,10 +365,10 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, check: bool = F
                     decoder = StreamDecoder(encoder.transducer.merges.bytes_of)
                 for doc_id, raw in zip(batch.column(0), batch.column(1), strict=True):
                     text, ids, decoded = raw.as_py().decode(errors="replace"), [], []
-                    for step in encoder.encode(text):
-                        ids.append(pa.array(step, pa.uint32()).to_numpy().astype("<u4").tobytes())
+                    for step in encoder.encode_steps(text):
+                        ids.append(step)
                         if check:
-                            decoded.append(decoder.decode(step))
+                            decoded.append(decoder.decode(ids_of(step)))
                     row = (doc_id.as_py(), b"".join(ids))
                     if check:
                         decoded.append(decoder.finish())
@@ -383,8 +401,7 @@ def decode_tokens(tokens: DataFrame, ranks_path: str) -> DataFrame:
             for batch in batches:
                 decoder = decoder or StreamDecoder({rank: token for token, rank in parse_ranks(content.value).items()})
                 for doc_id, raw in zip(batch.column(0), batch.column(1), strict=True):
-                    ids = memoryview(raw.as_py() or b"").cast("I")
-                    text = decoder.decode(ids) + decoder.finish()
+                    text = decoder.decode(ids_of(raw.as_py() or b"")) + decoder.finish()
                     yield len(text), (doc_id.as_py(), text)
 
         yield from _in_groups(["doc_id", "text"], rows(), [pa.int64(), pa.string()])

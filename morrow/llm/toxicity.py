@@ -13,6 +13,7 @@ The model is fitted on at most ``max_rows`` labelled rows, half of each class wh
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -110,6 +111,10 @@ class Model:
     bias: float
     thresholds: np.ndarray  # per language, the last for an unknown one
 
+    def arrays(self) -> tuple:
+        """The fields, which are plain numbers and arrays."""
+        return self.embeddings, self.taps, self.shift, self.weights, self.bias, self.thresholds
+
     def vectors(self, words: Words) -> np.ndarray:
         found = self.embeddings[words.table()].reshape(-1, _DIM)
         found[0] = 0.0
@@ -297,30 +302,38 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, label: str =
     ]
     # At most ``max_rows`` pairs of integers.
     pairs = F.broadcast(chosen[0].unionByName(chosen[1]))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
     rows = (
-        docs.where("doc_id is not null")
-        .join(pairs, F.col("doc_id") == F.col("known_id"))
+        texts.join(pairs, F.col("doc_id") == F.col("known_id"))
         .groupBy("doc_id", "known")
-        .agg(F.min(body()).alias("text"))
-        .orderBy("doc_id")
-        .collect()
+        .agg(F.min("text").alias("text"))
     )
-    calibrates = np.array([zlib.crc32(f"c{r['doc_id']}".encode()) % 4 == 0 for r in rows], dtype=bool)
-    return fit([r["text"] for r in rows], np.array([r["known"] for r in rows], dtype=np.int64), calibrates)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        ids, known, bodies = zip(*sample, strict=True) if sample else ((), (), ())
+        calibrates = np.array([zlib.crc32(f"c{i}".encode()) % 4 == 0 for i in ids], dtype=bool)
+        model = fit(list(bodies), np.array(known, dtype=np.int64), calibrates)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model.arrays())], pa.binary())], names=["model"])
+
+    # One task fits the bounded sample, so the driver only sees the model.
+    found = rows.coalesce(1).mapInArrow(fitted, "model binary").first()
+    return Model(*pickle.loads(found["model"])) if found else fit([], np.empty(0), np.empty(0, dtype=bool))
 
 
 def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Add ``score`` to the ``carry`` columns of each row.  The model has a fixed size."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain arrays: a broadcast of the class would need this package on every executor.
+    shared = docs.sparkSession.sparkContext.broadcast(model.arrays())
     names = [f"c{i}" for i in range(len(carry))]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words, model = Words(), Model(*shared.value)
         for batch in batches:
             texts = batch.column("body").to_pylist()
             found = []
             for group in grouped(texts):
-                found.append(shared.value.scores(words, group))
+                found.append(model.scores(words, group))
                 if len(words.index) > _CACHE:
                     words.forget()
             value = np.concatenate(found) if found else np.empty(0)
@@ -352,7 +365,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> DataFr
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> DataFrame:
-    """The documents that the classifier does not reject."""
+    """The documents that the classifier does not reject, with the columns of ``documents``.
+
+    Defined cases are those of ``toxicity``: null and empty texts are scored and so kept or
+    rejected like others, repeated rows stay or go together, other columns are dropped, and
+    an empty table gives an empty result.
+    """
     model = train(docs, labels, max_rows)
     columns = tuple(documents_like(docs).columns)
     return documents_like(score(docs, model, columns).where(F.col("score") < CUT))

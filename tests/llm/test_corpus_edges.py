@@ -13,7 +13,8 @@ from morrow.llm import (
 from test_corpus_queries import linked, repeats as brute_repeats
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = ("digest", "size", "rank", "node", "norm", "score", "kept", "text_key", "root", "topic", "tokens", "length")
+CLASH = ("digest", "size", "rank", "node", "norm", "score", "kept", "text_key", "root", "topic", "tokens", "length",
+         "known", "known_id", "body", "model", "held_out", "predicted")
 
 
 @pytest.fixture()
