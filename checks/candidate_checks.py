@@ -23,6 +23,7 @@ from morrow.operators import (
     sequences,
     union,
 )
+from morrow.operators.pruned_retrieval import retrieve_pruned
 from morrow.plans import candidates as candidate_plan
 from morrow.plans import inference
 from morrow.plans import rows as row_plan
@@ -290,6 +291,11 @@ def _(w: World):
     return sequences.prediction_context(ordered, w.early.targets, 3)
 
 
+@check("I13_pruned_retrieval", f"SELECT user_id, item_id, {r('score')}, rank, 'sasrec' AS source FROM als WHERE rank <= 15")
+def _(w: World):
+    return retrieve_pruned(w.user_factors, w.item_factors, w.seen, 15, "sasrec", block_rows=16).rows
+
+
 @check("I13_embedding_retrieval", f"SELECT user_id, item_id, {r('score')}, rank, 'sasrec' AS source FROM als WHERE rank <= 15")
 def _(w: World):
     return factors.retrieve_top(w.user_factors, w.item_factors, w.seen, 15, "sasrec", block_rows=64)
