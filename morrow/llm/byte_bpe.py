@@ -15,6 +15,9 @@ from __future__ import annotations
 
 import base64
 import struct
+import sys
+import types
+import zlib
 from collections.abc import Iterator, Sequence
 from itertools import islice
 
@@ -322,6 +325,19 @@ class StreamDecoder:
         return "�" if open_ else ""
 
 
+def worker_encoder(content: bytes, pattern: str) -> Encoder:
+    """The encoder of this worker process, which runs task after task and keeps its tables.
+
+    Functions reach a worker by value and bring globals of their own with each task, so the
+    encoder hangs on a module of the process.  Only the last vocabulary's is kept.
+    """
+    kept = sys.modules.setdefault("_byte_bpe_worker", types.ModuleType("_byte_bpe_worker"))
+    key = zlib.crc32(content), len(content), pattern
+    if getattr(kept, "key", None) != key:
+        kept.encoder, kept.key = Encoder(parse_ranks(content), pattern), key
+    return kept.encoder
+
+
 def _in_groups(columns: list[str], rows: Iterator[tuple[int, tuple]], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
     """Batches of about ``_BATCH_BYTES`` from rows with their sizes."""
     held, size = [], 0
@@ -361,7 +377,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, check: bool = F
             nonlocal encoder, decoder
             for batch in batches:
                 if encoder is None:
-                    encoder = Encoder(parse_ranks(content.value), pattern)
+                    encoder = worker_encoder(content.value, pattern)
                     decoder = StreamDecoder(encoder.transducer.merges.bytes_of)
                 for doc_id, raw in zip(batch.column(0), batch.column(1), strict=True):
                     text, ids, decoded = raw.as_py().decode(errors="replace"), [], []
