@@ -10,7 +10,6 @@ and the plan says which place belongs to that rank.  Token ids are read once.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,12 +23,21 @@ from pyspark.sql import functions as F
 from morrow.llm.support import body, stored
 
 END_ID = 1
-_GROUP_BYTES = 4 << 20
+_GROUP_BYTES = 1 << 22
 #: Words that a worker process remembers; then it starts anew.
 _WORDS = 600_000
 _PER_CALL = 512
 _MARK = "<|endoftext|>"
-_BEFORE_CLOSING = re.compile(rb"(?<=[a-z0-9])(?=[.,*#$%&|;:!?])")
+_WORD_END = "</w>"
+#: What a byte is to the splitting of words; a word also ends between a letter and a closing byte.
+_OTHER, _SPACE, _LETTER, _CLOSING = range(4)
+_KINDS = np.zeros(256, dtype=np.uint8)
+for _kind, _bytes in (
+    (_SPACE, b" \t\n\r\x0b\x0c"),
+    (_LETTER, b"abcdefghijklmnopqrstuvwxyz0123456789"),
+    (_CLOSING, b".,*#$%&|;:!?"),
+):
+    _KINDS[list(_bytes)] = _kind
 
 
 class WordEncoder:
@@ -48,6 +56,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = False
         self.mark_id = self.tokenizer.token_to_id(_MARK)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -56,49 +67,79 @@ class WordEncoder:
         self.starts = np.zeros(1, dtype=np.int64)
         self.lengths = np.ones(1, dtype=np.int64)
 
-    def _ids(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids and lengths of words: many in one call, parted by a special token."""
+    def _coded(self, text: str) -> np.ndarray:
+        (coded,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(coded.ids, dtype="<u4")
+
+    def _ids(self, words: list[str], letters: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids and lengths of words, many in one call.
+
+        A word of letters only has one id that ends a word, or more, never none.  So where a
+        call has as many of these as words, they part the words; else a special token does.
+        """
         for at in range(0, len(words), _PER_CALL):
-            text = _MARK.join([w.decode() for w in words[at : at + _PER_CALL]])
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            some = words[at : at + _PER_CALL]
+            if letters:
+                ids = self._coded(" ".join(some))
+                ends = np.flatnonzero(self.ends_word[ids])
+                if len(ends) == len(some):
+                    yield ids, np.diff(ends, prepend=-1)
+                    continue
+            ids = self._coded(_MARK.join(some))
             marks = np.flatnonzero(ids == self.mark_id)
             yield np.delete(ids, marks), np.diff(marks, prepend=-1, append=len(ids)) - 1
 
     def _learn(self, words: list[bytes]) -> None:
+        """Keep the ids of distinct words."""
         if len(self.index) > _WORDS:
             self._forget()
-        fresh = [w for w in set(words) if w not in self.index]
-        if not fresh:
+        letters, mixed, special = [], [], []
+        for word in words:
+            if word not in self.index:
+                text = word.decode()
+                (letters if text.isalpha() else special if "<|" in text else mixed).append(text)
+        parts = [*self._ids(letters, True), *self._ids(mixed, False)]
+        for ids in map(self._coded, special):
+            parts.append((ids, np.array([len(ids)])))
+        if not parts:
             return
-        plain = [w for w in fresh if b"<|" not in w]
-        parts = list(self._ids(plain))
-        for word in fresh:
-            if b"<|" in word:
-                plain.append(word)
-                ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-                parts.append((np.array(ids, dtype="<u4"), np.array([len(ids)])))
+        fresh = [w.encode() for w in (*letters, *mixed, *special)]
         lengths = np.concatenate([p[1] for p in parts])
-        self.index.update(zip(plain, range(len(self.lengths), len(self.lengths) + len(plain)), strict=True))
+        self.index.update(zip(fresh, range(len(self.lengths), len(self.lengths) + len(fresh)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.pool = np.concatenate([self.pool, *(p[0] for p in parts)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        split = []
+        raws, plain = [], []
         for text in texts:
             raw = text.encode(errors="replace")
             # A special token is looked for before case is dropped.
-            split.append((raw if b"<|" in raw else _BEFORE_CLOSING.sub(b" ", raw.lower())).split())
-        words = [w for each in split for w in each]
+            plain.append(b"<|" not in raw)
+            raws.append(raw.lower() if plain[-1] else raw)
+        data = np.frombuffer(b"\n".join([*raws, b""]), np.uint8)
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws)) + 1
+        kind = _KINDS[data]
+        shown = kind != _SPACE
+        closing = (kind[1:] == _CLOSING) & (kind[:-1] == _LETTER)
+        if not all(plain):
+            closing &= np.repeat(plain, sizes)[1:]
+        begins = shown.copy()
+        begins[1:] &= (kind[:-1] == _SPACE) | closing
+        at = np.flatnonzero(begins)
+        offsets = np.append(np.cumsum(shown)[at] - 1, np.count_nonzero(shown))
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data[shown])]
+        coded = pa.Array.from_buffers(pa.large_binary(), len(at), buffers).dictionary_encode()
+        words = coded.dictionary.to_pylist()
         self._learn(words)
-        known = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        ends = np.cumsum(counts)
+        distinct = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        known = distinct[coded.indices.to_numpy()]
+        ends = np.searchsorted(at, np.cumsum(sizes))
         known = np.insert(known, ends, 0)  # entry 0 is END_ID
         lengths = self.lengths[known]
         total = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.pool[np.repeat(self.starts[known] - total[:-1], lengths) + np.arange(total[-1])]
-        bounds = np.concatenate([[0], total[ends + np.arange(1, len(split) + 1)]])
+        bounds = np.concatenate([[0], total[ends + np.arange(1, len(texts) + 1)]])
         return ids, np.diff(bounds)
 
 
