@@ -273,8 +273,12 @@ PACKED = "range long, shard long, k1 binary, k2 binary, k3 binary, k4 binary"
 
 
 def _by_range(ranges: int, first: int, shard: int, key: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    """One row per hash range: the entries of ``key`` in it, and the columns along."""
-    where = ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    """One row per hash range: the entries of ``key`` in it, and the columns along.
+
+    Anchors are the smallest hashes of their strings and crowd in the lowest ranges, so the
+    range is that of the key mixed once more.
+    """
+    where = ((mixed(key) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
     order = np.lexsort((key, where))
     where, key, columns = where[order], key[order], [c[order] for c in columns]
     numbers, starts = np.unique(where, return_index=True)

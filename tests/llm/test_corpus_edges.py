@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from morrow.llm import (
@@ -324,3 +325,24 @@ def test_threshold_stops_early():
         vector_topk.inner_products = real
     assert ids.tolist() == [3999, 3998, 3997, 3996, 3995] and sum(asked) < 100
     assert vector_topk.inner_products(np.array([[2.0**40]]), np.array([2.0**30])).tolist() == [(1 << 63) - 1]
+
+
+def test_word_encoder_on_letters_that_case_or_composition_splits():
+    encoder = packing.WordEncoder(queries.word_tokenizer())
+    rng = random.Random(8)
+    letters = "abcİƛǅʰक़ͅéſﬁ中 　\x1c\x85.,'Z9<|>"
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(600)]
+    ids, counts = encoder.encode([*texts, "", "a<|endoftext|>.B.", "\ud800"])
+    ends = np.cumsum(counts)
+    for text, start, end in zip([*texts, "", "a<|endoftext|>.B.", "?"], ends - counts, ends, strict=True):
+        wanted = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids[start:end].tolist() == [*wanted, packing.END_ID]
+
+
+def test_anchor_ranges_are_even():
+    text = np.random.default_rng(3).integers(97, 123, 1 << 19).astype(np.uint8).tobytes()
+    row = {"shard": 0, "doc_ids": [1], "sizes": [len(text)], "data": zstandard.compress(text)}
+    anchors = repeats.Shard(row, 100, 56).anchors()
+    sizes = [len(x) // 8 for x in repeats._by_range(64, 0, 0, anchors).column("k1").to_pylist()]
+    assert sum(sizes) == len(anchors) and len(sizes) == 64
+    assert max(sizes) < 2 * len(anchors) / 64
