@@ -6,21 +6,28 @@ distributed prefix doubling: ranks over h lines at positions i and i + h give th
 whose longest common prefix is at least h.  A suffix alone in its interval can share no
 longer run with another one and leaves the doubling.
 
-Runs of fewer than ``min_lines`` lines are of no interest, and an interval with a longer
-common prefix lies inside one of ``min_lines``.  So the doubling stops at that depth, where
-two overlapping ranks cover a depth that is no power of two.  The first member of each
-interval stays; the lines that any other member covers are deleted, and neighbouring
-or overlapping covers join to maximal runs.
+An interval with a longer common prefix lies inside one of ``min_lines``.  So the doubling
+stops at that depth, where two overlapping ranks cover a depth that is no power of two.
+Where shorter runs count too if they hold enough words, every depth up to ``min_lines`` is
+visited once, in one ascent, and the words of a run travel with its suffix.  The first
+member of each interval stays; the lines that any other member covers are deleted, and
+neighbouring or overlapping covers join to maximal runs.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from morrow.llm.mixing import word_count
 from morrow.llm.support import body, stored
 
+#: Words of a suffix's first line and of its run: the same at depth 1.
+_WORDS = ["first_words", "words"]
+_SUFFIX = ["doc_id", "node", "line", *_WORDS]
+
 
 def numbered_texts(docs: DataFrame) -> DataFrame:
     """The rows with a stored number, so that later stages name the same rows."""
@@ -37,31 +44,44 @@ def _ordered(keys: DataFrame, order: list[str]) -> DataFrame:
 def _repeated(rows: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key occurs more than once, ranked by the key."""
     often = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key)
-    return stored(rows.join(_ordered(often, key), key).select("doc_id", "node", "line", "rank"), "suffixes")
+    kept = [c for c in _SUFFIX if c in rows.columns]
+    return stored(rows.join(_ordered(often, key), key).select(*kept, "rank"), "suffixes")
 
 
 def _ahead(suffixes: DataFrame, h: int) -> DataFrame:
     """Pair each suffix with the one ``h`` lines further; those without one leave."""
     further = Window.partitionBy("node").orderBy("line").rangeBetween(h, h)
-    return stored(
-        suffixes.withColumn("next", F.max("rank").over(further)).where("next is not null"), "pairs"
-    )
+    paired = suffixes.withColumn("next", F.max("rank").over(further))
+    if "words" in suffixes.columns:
+        paired = paired.withColumn("words", F.col("first_words") + F.max("words").over(further))
+    return stored(paired.where("next is not null"), "pairs")
+
+
+def depths(min_lines: int, every: bool) -> list[int]:
+    """The depths from 1 to ``min_lines``: all of them, or each at most twice the last."""
+    found = [1]
+    while found[-1] < min_lines:
+        found.append(min(min_lines, found[-1] + (1 if every else found[-1])))
+    return found
+
 
+def repeated_runs(texts: DataFrame, min_lines: int, every: bool = False) -> dict[int, DataFrame]:
+    """By depth, the suffixes that share so many lines with another one.
 
-def repeated_runs(texts: DataFrame, min_lines: int) -> DataFrame:
-    """Suffixes that share ``min_lines`` lines with another one: ``doc_id, node, line, rank``."""
+    Columns ``doc_id, node, line, rank``; with ``every``, all depths up to ``min_lines`` are
+    there, with ``words``, the words of the run over that depth.
+    """
     line = F.posexplode(F.split("text", "\n", -1)).alias("line", "value")
+    words = [word_count(F.col("value")).alias(name) for name in _WORDS if every]
     # 128 bits of two hashes stand for a line.
     lines = texts.select("doc_id", "node", line).select(
-        "doc_id", "node", "line", F.xxhash64("value").alias("id"), F.xxhash64("value", F.lit(1), "value").alias("id2")
+        "doc_id", "node", "line", F.xxhash64("value").alias("id"), F.xxhash64("value", F.lit(1), "value").alias("id2"), *words
     )
-    suffixes = _repeated(stored(lines, "lines"), ["id", "id2"])
-    depth = 1
-    while depth < min_lines:
-        step = min(depth, min_lines - depth)
-        suffixes = _deeper(suffixes, step)
-        depth += step
-    return suffixes
+    found = {1: _repeated(stored(lines, "lines"), ["id", "id2"])}
+    steps = depths(min_lines, every)
+    for last, depth in zip(steps, steps[1:]):
+        found[depth] = _deeper(found[last], depth - last)
+    return found
 
 
 def _deeper(suffixes: DataFrame, step: int) -> DataFrame:
@@ -84,25 +104,20 @@ def later_members(suffixes: DataFrame) -> DataFrame:
     return suffixes.join(first, "rank").where("not (node = first_node and line = first_line)")
 
 
-def long_runs(texts: DataFrame, later: DataFrame, depth: int, long_words: int) -> DataFrame:
-    """Those of the runs over ``depth`` lines that hold more than ``long_words`` words."""
-    found = later.groupBy("node").agg(F.collect_list("line").alias("at"))
-    lines = F.split("text", "\n", -1)
-    run = F.array_join(F.slice(lines, F.col("line") + 1, depth), "\n")
-    return (
-        texts.join(found.hint("merge"), "node")
-        .select("doc_id", "node", "text", F.explode("at").alias("line"))
-        .where(word_count(run) > long_words)
-        .select("doc_id", "node", "line")
-    )
-
-
 def deleted_runs(texts: DataFrame, min_lines: int, long_words: int | None = None) -> DataFrame:
     """Maximal runs of deleted lines: ``node, doc_id, start, stop`` (exclusive), from 0."""
-    covers = later_members(repeated_runs(texts, min_lines)).select("doc_id", "node", "line", (F.col("line") + min_lines).alias("end"))
-    for depth in range(1, min_lines if long_words is not None else 1):
-        later = long_runs(texts, later_members(repeated_runs(texts, depth)), depth, long_words)
-        covers = covers.unionByName(later.withColumn("end", F.col("line") + depth))
+    runs = repeated_runs(texts, min_lines, every=long_words is not None)
+    counted = {min_lines: runs[min_lines]}
+    if long_words is not None:
+        # The members of an interval hold the same words: whole intervals leave here.
+        counted |= {d: runs[d].where(F.col("words") > long_words) for d in range(1, min_lines)}
+    covers = reduce(
+        DataFrame.unionByName,
+        [
+            later_members(found).select("doc_id", "node", "line", (F.col("line") + depth).alias("end"))
+            for depth, found in counted.items()
+        ],
+    )
     by_line = Window.partitionBy("node").orderBy("line")
     reach = F.max("end").over(by_line.rowsBetween(Window.unboundedPreceding, -1))
     marked = covers.withColumn("begins", F.coalesce((F.col("line") > reach).cast("int"), F.lit(1)))
@@ -160,8 +175,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = 3, long_words: int | None = No
     )
 
 
-def line_digest(docs: DataFrame, min_lines: int = 3) -> DataFrame:
+def line_digest(docs: DataFrame, min_lines: int = 3, long_words: int | None = None) -> DataFrame:
     """The columns of query op1."""
-    return dedup_lines(docs, min_lines).select(
+    return dedup_lines(docs, min_lines, long_words).select(
         "doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256")
     )

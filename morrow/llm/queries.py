@@ -45,7 +45,7 @@ def word_tokenizer() -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_digest(_table(spark, sf_dir, "documents"), min_lines=3)
+    return line_dedup.line_digest(_table(spark, sf_dir, "documents"), min_lines=3, long_words=50)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,10 +99,13 @@ ORACLES: dict[str, str] = {
     "op1_line_dedup": """
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         w AS (
-          SELECT doc_id, i, lines[i : i + 2] AS run
-          FROM (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS i FROM d)),
-        s AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1),
-        g AS (SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS i FROM s),
+          SELECT doc_id, n, i, lines[i : i + n - 1] AS run
+          FROM (SELECT doc_id, lines, n, unnest(range(1, len(lines) - n + 2)) AS i FROM d, (VALUES (1), (2), (3)) AS depth(n))),
+        v AS (
+          SELECT * FROM w
+          WHERE n = 3 OR len(regexp_extract_all(array_to_string(run, chr(10)), '[^\x20\x09-\x0D]+')) > 50),
+        s AS (SELECT doc_id, i, n FROM v QUALIFY row_number() OVER (PARTITION BY n, run ORDER BY doc_id, i) > 1),
+        g AS (SELECT DISTINCT doc_id, i + unnest(range(n)) AS i FROM s),
         r AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM g),
         a AS (SELECT doc_id, list(i) AS gone, count(*) AS n_removed, count(DISTINCT island) AS n_runs FROM r GROUP BY doc_id)
         SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,

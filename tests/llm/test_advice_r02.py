@@ -85,6 +85,33 @@ def test_long_runs_of_one_and_two_lines(spark):
     assert rows == {d: gone.get(d, ("\n".join(t), 0, 0)) for d, t in texts.items()}
 
 
+def deleted(docs, min_lines, long_words):
+    """Line by line: the lines left of each document."""
+    seen, gone = set(), {d: set() for d in docs}
+    for d in sorted(docs):
+        lines = docs[d].split("\n")
+        for i in range(len(lines)):
+            for n in range(1, min_lines + 1):
+                run = tuple(lines[i : i + n])
+                if len(run) == n and (n == min_lines or len(" ".join(run).split()) > long_words):
+                    if run in seen:
+                        gone[d].update(range(i, i + n))
+                    seen.add(run)
+    return {d: [x for i, x in enumerate(docs[d].split("\n")) if i not in gone[d]] for d in docs}
+
+
+@pytest.mark.parametrize("min_lines, long_words", [(1, 2), (2, 3), (4, 4), (5, 9), (4, 0)])
+def test_runs_of_every_depth(spark, min_lines, long_words):
+    rng = np.random.default_rng(min_lines)
+    lines = ["", " ", "a", "b c", "d  e f", "g h i\tj"]
+    docs = {d: "\n".join(rng.choice(lines, rng.integers(1, 12))) for d in range(60)}
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    rows = line_dedup.dedup_lines(table, min_lines, long_words=long_words).collect()
+    expected = deleted(docs, min_lines, long_words)
+    assert {r.doc_id: r.text for r in rows} == {d: "\n".join(x) for d, x in expected.items()}
+    assert {r.doc_id: r.n_lines - r.n_removed for r in rows} == {d: len(x) for d, x in expected.items()}
+
+
 def test_marked_pages_exactly(spark):
     """Every page's article, references decoded, word for word."""
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
