@@ -8,7 +8,7 @@ from checks import fixtures
 from checks.fixtures import FOLD, MODEL_FEATURES, SEED, World
 from checks.registry import check, f32, r, step
 from checks.steps import STRATUM, id_hash, is_active, pair_uniform
-from morrow.operators import listwise, rankers, sampling, union
+from morrow.operators import borders, listwise, rankers, sampling, union
 from morrow.schemas import PAIR_KEYS
 
 
@@ -187,6 +187,37 @@ def _(w: World):
     return rankers.learn_borders(w.dataset, ["source_count", "cross_score_item2item"], 16)
 
 
+@check(
+    "R10_weighted_borders",
+    """WITH entry AS (
+      SELECT views AS weight, unnest(['watch_time', 'views', 'item_id', 'fixed']) AS feature,
+             unnest([CAST(watch_time AS DOUBLE), views, item_id, 1]) AS value
+      FROM hist),
+    reached AS (
+      SELECT feature, value,
+             least(floor(sum(sum(weight)) OVER (PARTITION BY feature ORDER BY value)::DOUBLE * 16
+                         / (sum(sum(weight)) OVER (PARTITION BY feature))::DOUBLE), 15) AS i
+      FROM entry WHERE weight > 0 GROUP BY feature, value),
+    crossed AS (
+      SELECT feature, value, i > lag(i) OVER (PARTITION BY feature ORDER BY value) AS border FROM reached),
+    placed AS (
+      SELECT feature, value AS border, row_number() OVER (PARTITION BY feature ORDER BY value) AS place
+      FROM crossed WHERE border)
+    SELECT feature, coalesce(place, 0) AS place, coalesce(border, 0) AS border
+    FROM (SELECT unnest(['watch_time', 'views', 'item_id', 'fixed']) AS feature) LEFT JOIN placed USING (feature)""",
+)
+def _(w: World):
+    """Borders by the weight of the views, also of a feature without any."""
+    rows = w.history.select("watch_time", "views", "item_id", F.lit(1).alias("fixed"))
+    found = borders.weighted_borders(rows, rows.columns, 16, "views")
+    placed = found.select("feature", F.posexplode_outer("borders").alias("place", "border"))
+    return placed.select(
+        "feature",
+        F.coalesce(F.col("place") + 1, F.lit(0)).cast("long").alias("place"),
+        F.coalesce("border", F.lit(0.0)).alias("border"),
+    )
+
+
 @check("R11_pointwise_ranker_fit")
 def _(w: World):
     trees = w.tree_model.stages[-1]
