@@ -266,7 +266,7 @@ def _(w: World):
     counts = interactions.event_counts(w.raw).withColumnRenamed("event_type", "run_id")
     tables.append_runs(path, counts.filter(F.col("run_id") != "view"))
     tables.append_runs(path, counts)  # only the missing run is added
-    return w.spark.read.parquet(path)
+    return tables.read_runs(w.spark, path)
 
 
 # ---- projections and predicates ------------------------------------------------------

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,20 +102,36 @@ def read_factor_model(spark: SparkSession, folder: str) -> tuple[ALSModel, DataF
     return ALSModel.load(f"{folder}/model"), tables["user_factors"], tables["item_factors"]
 
 
-def append_runs(log_path: str, runs: DataFrame) -> DataFrame:
-    """Append runs whose id is not in the log yet; returns the appended rows."""
-    spark = runs.sparkSession
+def _log_rows(spark: SparkSession, log_path: str) -> DataFrame | None:
     try:
-        known = spark.read.parquet(log_path).select("run_id")
-    except Exception as error:  # the first run finds no log
-        if "PATH_NOT_FOUND" not in str(error):
+        return spark.read.parquet(log_path)
+    except AnalysisException as error:  # the first run finds no log
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        known = runs.select("run_id").limit(0)
-    fresh = runs.join(known, "run_id", "left_anti")
-    fresh.write.mode("append").parquet(log_path)
+        return None
+
+
+def append_runs(log_path: str, runs: DataFrame) -> DataFrame:
+    """Append runs whose id is not in the log yet; returns the appended rows.
+
+    Every append is an attempt of its own.  Two writers that both find a run missing both
+    append it; ``read_runs`` then shows the earlier attempt alone, so that appending again,
+    or at the same time, changes nothing.
+    """
+    log = _log_rows(runs.sparkSession, log_path)
+    fresh = runs if log is None else runs.join(log.select("run_id"), "run_id", "left_anti")
+    attempt = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    fresh.withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(log_path)
     return fresh
 
 
+def read_runs(spark: SparkSession, log_path: str) -> DataFrame:
+    """The rows of the first attempt of every run."""
+    log = spark.read.parquet(log_path)
+    first = log.groupBy("run_id").agg(F.min("attempt").alias("attempt"))
+    return log.join(first, ["run_id", "attempt"], "left_semi").drop("attempt")
+
+
 def write_parameters(path: str, spark: SparkSession, name: str, parameters: str) -> None:
     """Store named parameters (a JSON document) as one row."""
     schema = "name string, parameters string"
