@@ -1,18 +1,19 @@
 """Removal of byte strings of a fixed length that also start earlier, in any document.
 
-The corpus is cut into shards of whole documents.  A shard orders its own suffixes by their
-hashed prefixes; shards are never sorted together.  Their orders are interleaved step by
-step instead, each step at a greater depth and only for the blocks that are still shared:
+The corpus is cut into shards of whole documents.  No suffix order, Burrows-Wheeler transform
+or common-prefix array is built: strings are compared by hashes.  A shard hashes its
+own strings, and hashes of all shards meet step by step, each step telling more of a string
+and only for the groups that are still shared:
 
 1. Anchors.  Of the prefixes of ``seed`` bytes in a string, the one with the smallest hash is
    the string's anchor: equal strings have the same anchor at the same offset, so strings
-   with different anchors never need to meet.  Shards send each anchor's hash once; blocks
-   held by one suffix alone leave here.
-2. Contexts.  The strings of one anchor lie in one stretch of text.  Equal stretches
-   form an interval with a long common prefix: only its first member stays, and all others
-   are repeats as a whole.
-3. Strings.  Only where one anchor has different contexts, the first member of each
-   interval sends its strings themselves, and again all but the first are repeats.
+   with different anchors never need to meet.  Shards send each anchor's hash once; anchors
+   held by one string alone leave here.
+2. Contexts.  The strings of one anchor lie in one stretch of text.  Of equal
+   stretches, which have equal hashes, only the first stays, and all others are repeats as
+   a whole.
+3. Strings.  Only where one anchor has different contexts, the first of equal
+   stretches sends the hashes of its strings, and again all but the first are repeats.
 
 In each step a shard sends any value at most once, packed by hash range, and gets back
 which of its values are shared or come later.  Hash ranges grow in number with the input; a
