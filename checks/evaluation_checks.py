@@ -8,6 +8,7 @@ from checks.fixtures import COVISIT, K, World
 from checks.fold_checks import ALS, GPOP, ITWO, RPOP
 from checks.registry import check, r, step
 from checks.steps import is_active
+from morrow.functions.joins import pair_join
 from morrow.operators import comparison, covisit, metrics, union
 from morrow.schemas import PAIR_KEYS
 
@@ -285,7 +286,7 @@ def _(w: World):
     FROM (SELECT ranker_score AS s, label AS y FROM mixed_scores JOIN lab USING (user_id, item_id))""",
 )
 def _(w: World):
-    rows = w.scores.join(w.dataset.select(*PAIR_KEYS, "label"), PAIR_KEYS)
+    rows = pair_join(w.scores, w.dataset.select(*PAIR_KEYS, "label"))
     return metrics.log_loss(rows)
 
 

@@ -8,6 +8,7 @@ from checks import fixtures
 from checks.fixtures import World
 from checks.fold_checks import ALS, GPOP, ITWO, RPOP
 from checks.registry import check
+from morrow.functions.joins import pair_join
 from morrow.operators import factors, features, interactions, quality
 from morrow.schemas import CANDIDATE, PAIR_KEYS
 
@@ -275,7 +276,7 @@ def _(w: World):
 def _(w: World):
     scope = w.validation
     pairs = w.sources[ALS].select(*PAIR_KEYS)
-    seen = pairs.join(interactions.seen_pairs(scope), PAIR_KEYS, "left_semi")
+    seen = pair_join(pairs, interactions.seen_pairs(scope), "left_semi")
     known = pairs.join(interactions.known_items(w.history), "item_id", "left_anti")
     return quality.all_checks(
         quality.count_as_violation(known, "unknown_item"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from morrow.functions.expressions import any_of
-from morrow.functions.joins import attach_row
+from morrow.functions.joins import attach_row, pair_join
 from morrow.functions.ranking import nearest_quantiles
 from morrow.operators.popularity import list_pairs
 from morrow.operators.union import active
@@ -27,8 +27,8 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 
 def hit_pairs(candidates: DataFrame, truth: DataFrame) -> DataFrame:
     """Distinct candidate pairs that are relevant."""
-    return truth.select(*PAIR_KEYS).join(
-        candidates.select(*PAIR_KEYS), PAIR_KEYS, "left_semi"
+    return pair_join(
+        truth.select(*PAIR_KEYS), candidates.select(*PAIR_KEYS), "left_semi"
     ).distinct()
 
 
@@ -291,7 +291,7 @@ def hit_overlap(
     marked = truth.select(*PAIR_KEYS)
     for name, rows in {"main": candidates, **others}.items():
         flag = rows.select(*PAIR_KEYS).distinct().withColumn(f"in_{name}", F.lit(True))
-        marked = marked.join(flag, PAIR_KEYS, "left").withColumn(
+        marked = pair_join(marked, flag, "left").withColumn(
             f"in_{name}", F.coalesce(f"in_{name}", F.lit(False))
         )
     main = F.col("in_main")
@@ -318,7 +318,7 @@ def final_hit_contribution(
     hits = hit_pairs(list_pairs(recommendations), truth)
     source = candidates.select(*PAIR_KEYS).distinct().withColumn("__in", F.lit(True))
     base = baseline_hits.select(*PAIR_KEYS).distinct().withColumn("__base", F.lit(True))
-    marked = hits.join(source, PAIR_KEYS, "left").join(base, PAIR_KEYS, "left")
+    marked = pair_join(pair_join(hits, source, "left"), base, "left")
     inside = F.col("__in").isNotNull()
     return marked.agg(
         F.count_if(inside).alias("final_hits_present_in_source"),
@@ -333,7 +333,7 @@ def final_hit_coverage(
     marked = hit_pairs(list_pairs(recommendations), truth)
     for name, rows in sources.items():
         flag = rows.select(*PAIR_KEYS).distinct().withColumn(f"__{name}", F.lit(True))
-        marked = marked.join(flag, PAIR_KEYS, "left")
+        marked = pair_join(marked, flag, "left")
     return marked.agg(
         F.count(F.lit(1)).alias("final_hits"),
         *[F.count(f"__{name}").alias(f"final_hits_in_{name}") for name in sources],

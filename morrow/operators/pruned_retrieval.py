@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from morrow.functions.joins import lookup_join
+from morrow.functions.joins import lookup_join, pair_join
 from morrow.functions.ranking import global_rank, top_rows
 from morrow.functions.stages import write_stage
 from morrow.functions.vectors import norm
@@ -117,7 +117,7 @@ def retrieve_pruned(
         pairs = needs.join(asked.select("user_id", "query_block"), "user_id").select("query_block", "item_block")
         pairs = write_stage(pairs.distinct(), "block_pairs")
         found = _met_blocks(needs, pairs, asked, placed, seen_in, k)
-        unseen = found.join(hidden, PAIR_KEYS, "left_anti")
+        unseen = pair_join(found, hidden, "left_anti")
         if best is not None:
             unseen = unseen.unionByName(best.drop("rank"))
         best = write_stage(top_rows(unseen, "user_id", [F.desc("score"), F.asc("item_id")], k), "best")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from morrow.functions.expressions import any_of, finite, instant, normalized_rank, total_of
-from morrow.functions.joins import lookup_join
+from morrow.functions.joins import lookup_join, pair_join
 from morrow.functions.ranking import global_rank
 from morrow.operators.interactions import known_items, seen_pairs
 from morrow.operators.popularity import list_pairs
@@ -189,7 +189,7 @@ def history_cutoff(daily: DataFrame, cutoff: datetime | Column) -> DataFrame:
 def known_and_unseen(pairs: DataFrame, history: DataFrame) -> DataFrame:
     """Pairs with an item unknown to history, and pairs the user has already seen."""
     unknown = lookup_join(pairs.select(*PAIR_KEYS), known_items(history), "item_id", "left_anti")
-    seen = pairs.select(*PAIR_KEYS).join(seen_pairs(history), PAIR_KEYS, "left_semi")
+    seen = pair_join(pairs.select(*PAIR_KEYS), seen_pairs(history), "left_semi")
     return all_checks(
         count_as_violation(unknown, "unknown_item"), count_as_violation(seen, "seen_pair")
     )
