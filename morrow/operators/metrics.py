@@ -318,7 +318,7 @@ def final_hit_contribution(
     hits = hit_pairs(list_pairs(recommendations), truth)
     source = candidates.select(*PAIR_KEYS).distinct().withColumn("__in", F.lit(True))
     base = baseline_hits.select(*PAIR_KEYS).distinct().withColumn("__base", F.lit(True))
-    marked = pair_join(pair_join(hits, source, "left"), base, "left")
+    marked = pair_join(hits, source, "left").join(base, PAIR_KEYS, "left")
     inside = F.col("__in").isNotNull()
     return marked.agg(
         F.count_if(inside).alias("final_hits_present_in_source"),
