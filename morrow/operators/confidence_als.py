@@ -61,11 +61,29 @@ def gram_matrix(factors: DataFrame, rank: int) -> np.ndarray:
 
 
 def _block_sums(rank: int):
-    def sums(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        rows = np.stack(frame["features"].to_numpy()).astype(np.float64)
-        weight = frame["confidence"].to_numpy(np.float64)
-        matrix = (rows * (weight - 1.0)[:, None]).T @ rows
-        return pd.DataFrame({"entity": [key[0]], "matrix": [matrix.ravel()], "target": [weight @ rows]})
+    """Sums of the rows of each (entity, block); the rows come sorted, so a sum is open until the next key."""
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, matrix, target = None, None, None
+        for frame in frames:
+            if frame.empty:
+                continue
+            rows = np.stack(frame["features"].to_numpy()).astype(np.float64)
+            weight = frame["confidence"].to_numpy(np.float64)
+            keys = frame[["entity", "block"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+            done = []
+            for start, end in zip(cuts, cuts[1:]):
+                key, mine, w = tuple(keys[start]), rows[start:end], weight[start:end]
+                if key != at:
+                    if at is not None:
+                        done.append((at[0], matrix.ravel(), target))
+                    at, matrix, target = key, np.zeros((rank, rank)), np.zeros(rank)
+                matrix = matrix + (mine * (w - 1.0)[:, None]).T @ mine
+                target = target + w @ mine
+            yield pd.DataFrame(done, columns=["entity", "matrix", "target"])
+        if at is not None:
+            yield pd.DataFrame({"entity": [at[0]], "matrix": [matrix.ravel()], "target": [target]})
 
     return sums
 
@@ -78,10 +96,10 @@ def entity_sums(pairs: DataFrame, factors: DataFrame, rank: int, block_rows: int
     sizes = pairs.groupBy("entity").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
     # The pairs of an entity are dealt over its blocks by their other side.
     placed = pairs.join(sizes, "entity").withColumn("block", F.pmod(F.xxhash64("other"), F.col("blocks")))
-    rows = placed.join(factors, "other").select("entity", "block", "blocks", "confidence", "features")
-    parts = write_stage(
-        rows.groupBy("entity", "block", "blocks").applyInPandas(_block_sums(rank), _SUMS), "blocks"
-    )
+    rows = placed.join(factors, "other").select("entity", "block", "confidence", "features")
+    # Most entities have few pairs: one call sums those of a whole partition.
+    sorted_rows = rows.repartition("entity", "block").sortWithinPartitions("entity", "block")
+    parts = write_stage(sorted_rows.mapInPandas(_block_sums(rank), _SUMS), "blocks")
     cells = parts.select(
         "entity", F.posexplode(F.concat("matrix", "target")).alias("cell", "value")
     ).groupBy("entity", "cell").agg(F.sum("value").alias("value"))
