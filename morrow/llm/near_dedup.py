@@ -100,8 +100,9 @@ def registers(hashes: np.ndarray, buckets: int, order: np.ndarray) -> np.ndarray
 
 SKETCH = (
     "node long, doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>,"
-    " registers binary, digest array<long>"
+    " registers binary, digest array<long>, parity array<long>"
 )
+_PARITY_WORDS = 8
 _EVEN_BITS = 0x5555555555555555
 
 
@@ -113,6 +114,24 @@ def low_bits(regs: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce((two << shifts).reshape(-1, 32), axis=1).astype(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of 512 classes of hashes, whether the set holds an odd number of them."""
+    odd = np.bincount((hashes >> np.uint64(55)).astype(np.int64), minlength=64 * _PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def similar_parities(a: Column, b: Column, a_size: Column, b_size: Column, percent: int) -> Column:
+    """Whether two parities leave room for the similarity, as a join condition.
+
+    Each class in which they differ holds a shingle of one set only, so this bound is certain: the sets of
+    a link differ in at most ``(100 - percent) / (100 + percent)`` of the sum of their sizes.
+    """
+    differ = F.lit(0)
+    for word in range(_PARITY_WORDS):
+        differ = differ + F.bit_count(F.get(a, F.lit(word)).bitwiseXOR(F.get(b, F.lit(word))))
+    return differ * (100 + percent) <= (a_size + b_size) * (100 - percent)
+
+
 def similar_digests(a: Column, b: Column, a_size: Column, b_size: Column, n: int, similarity: float) -> Column:
     """Whether two digests leave room for the similarity, as a join condition.
 
@@ -139,7 +158,7 @@ def sketches(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS)
         hasher = ShingleHasher(width)
         step = np.arange(bands, dtype=np.uint64) << np.uint64(32)
         for batch in batches:
-            sizes, keys, band_keys, found, digests = [], [], [], [], []
+            sizes, keys, band_keys, found, digests, odd = [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = hasher(text)
                 sizes.append(len(hashes))
@@ -151,6 +170,7 @@ def sketches(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS)
                 band_keys.append(key.astype(np.int64) if len(hashes) else np.empty(0, np.int64))
                 found.append(regs.tobytes())
                 digests.append(low_bits(regs))
+                odd.append(parities(hashes))
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(n) for n in ("node", "doc_id", "text_key")),
@@ -159,8 +179,9 @@ def sketches(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS)
                     pa.array(band_keys, pa.list_(pa.int64())),
                     pa.array(found, pa.binary()),
                     pa.array(digests, pa.list_(pa.int64())),
+                    pa.array(odd, pa.list_(pa.int64())),
                 ],
-                names=["node", "doc_id", "text_key", "n_shingles", "set_key", "bands", "registers", "digest"],
+                names=["node", "doc_id", "text_key", "n_shingles", "set_key", "bands", "registers", "digest", "parity"],
             )
 
     numbered = docs.select(
@@ -227,6 +248,38 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(check, "a long, b long")
 
 
+def shingle_hashes(texts: DataFrame, width: int) -> DataFrame:
+    """``node, hashes``: the distinct shingle hashes of each text, stored."""
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = ShingleHasher(width)
+        for batch in batches:
+            found = [hasher(text).astype(np.int64) for text in batch.column("text").to_pylist()]
+            arrays = [batch.column("node"), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["node", "hashes"])
+
+    return stored(texts.select("node", "text").mapInArrow(hashed, "node long, hashes array<long>"), "hashes")
+
+
+def within_reach(hashes: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+    """``node, shared``: nodes that may reach the similarity, with their shingles found in other nodes too.
+
+    A node's intersection with any other is at most ``shared``, so a node with fewer than
+    ``percent`` of its shingles shared is linked with none of the others.  Without it more shingles of the
+    others lie in one node only, hence the rounds.  Shingles are counted by plain aggregation; one that
+    very many nodes hold is only a count.
+    """
+    for step in range(rounds):
+        each = hashes.select("node", F.explode("hashes").alias("hash"))
+        single = each.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+        own = single.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+        shared = hashes.select("node", F.size("hashes").alias("size")).join(own, "node", "left")
+        shared = shared.withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0)))
+        shared = stored(shared.where(F.col("shared") * 100 >= F.col("size") * percent).select("node", "shared"), "reach")
+        if step + 1 < rounds:
+            hashes = stored(hashes.join(shared, "node", "left_semi"), "hashes")
+    return shared
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node that has a link; the root is its component's smallest node.
 
@@ -269,8 +322,10 @@ def near_components(
     all members of a bucket that are not yet in the same component meet: no link between
     different components is left untested, and pairs inside a component are never formed.
 
-    Two bits of each register are compared inside the join, so pairs that are far from the
-    similarity are not formed; the full registers and then the full sets decide the rest.
+    Bounds inside the join keep pairs that are far from the similarity from being formed: the sizes,
+    the parities of the shingle counts in 512 classes (certain) and two bits of each register.
+    Before the last round, nodes with too few shingles in common with all other nodes left drop out
+    (certain, too).  The full registers and then the full sets decide the rest.
 
     A link is found if the documents share one of the bands; at similarity 0.8 with 50
     bands of 5 independent registers all are missed with a probability below 1e-8.  Shingles that
@@ -290,27 +345,39 @@ def near_components(
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     buckets = stored(rows.join(shared, "key", "left_semi"), "buckets")
     met = buckets.select("node").distinct()
-    regs = stored(reps.join(met, "node", "left_semi").select("node", "doc_id", "text_key", "n_shingles", "registers", "digest"), "registers")
+    regs = stored(reps.join(met, "node", "left_semi").select("node", "doc_id", "text_key", "n_shingles", "registers", "digest", "parity"), "registers")
     texts = _texts_of(docs, sketch, regs)
-    labels = stored(regs.select("node", "digest", F.col("node").alias("root")), "labels")
+    labels = stored(regs.select("node", "digest", "parity", F.col("node").alias("root")), "labels")
     for step in range(stars + 1):
         now = buckets.join(labels, "node")
         mixed_keys = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
         now = now.join(mixed_keys, "key", "left_semi")
+        columns = ["n_shingles", "root", "digest", "parity"]
         if step < stars:
             turn = F.xxhash64("node", F.lit(step)) if step else F.col("node")
-            first = F.struct(turn.alias("turn"), "node", "n_shingles", "root", "digest")
+            first = F.struct(turn.alias("turn"), "node", *columns)
             other = now.groupBy("key").agg(F.min(first).alias("p")).select("key", "p.*")
             apart = F.col("a_root") != F.col("b_root")
         else:
+            here = texts.join(now.select("node").distinct(), "node", "left_semi")
+            now = now.join(within_reach(shingle_hashes(here, width), percent), "node")
+            # The smallest partner of a bucket leaves the most room; the rest of the bucket cannot widen it.
+            ends = now.groupBy("key").agg(F.min("n_shingles").alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+            room = (F.col("n_shingles") + F.col("least")) * percent <= F.col("shared") * (100 + percent)
+            now = stored(now.join(ends.where("lo < hi").select("key", "least"), "key").where(room).drop("least"), "open")
             other = now
             apart = F.col("a_root") < F.col("b_root")
+            columns.append("shared")
         sides = [
-            df.select("key", F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n_shingles", "root", "digest")])
+            df.select("key", F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])
             for s, df in (("a", other), ("b", now))
         ]
         sizes = [F.col(f"{s}_n_shingles") for s in "ab"]
         close = F.least(*sizes) * 100 >= F.greatest(*sizes) * percent
+        if step == stars:
+            most = F.least("a_shared", "b_shared")
+            close = close & ((sizes[0] + sizes[1]) * percent <= most * (100 + percent))
+        close = close & similar_parities(F.col("a_parity"), F.col("b_parity"), *sizes, percent)
         alike = similar_digests(F.col("a_digest"), F.col("b_digest"), *sizes, BANDS * ROWS, percent / 100)
         pairs = sides[0].join(sides[1], (sides[0]["key"] == sides[1]["key"]) & apart & close & alike)
         pairs = pairs.select("a", "b").distinct()
@@ -323,7 +390,7 @@ def near_components(
         moved = components(ends.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
         moved = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
         labels = stored(
-            labels.join(moved, "root", "left").select("node", "digest", F.coalesce("to", "root").alias("root")), "labels"
+            labels.join(moved, "root", "left").select("node", "digest", "parity", F.coalesce("to", "root").alias("root")), "labels"
         )
     whole = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select(
         "set_key", F.coalesce("root", "class").alias("component")
