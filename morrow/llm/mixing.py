@@ -140,9 +140,9 @@ def rake(
                 name, F.when(now > 0, step).otherwise(F.lit(1.0)).alias("step"), (F.abs(now - aim) / whole).alias("off")
             )
             cells = cells.join(steps, name).withColumn("factor", F.col("factor") * F.col("step")).drop("step")
-            cells = cells.withColumnRenamed("off", f"off_{name}")
+            # The cells are read on both sides; one plan over all marginals would double with each of them.
+            cells = stored(cells.withColumnRenamed("off", f"off_{name}"), "cells")
             gap = F.greatest(gap, F.col(f"off_{name}"))
-        cells = stored(cells, "cells")
         # How far the shares were off before this round's steps.
         worst = cells.agg(F.max(gap)).first()[0]
         cells = cells.drop(*[f"off_{name}" for name in goals])
